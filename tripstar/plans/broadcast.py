@@ -1,0 +1,45 @@
+"""Broadcast decisions with a size check.
+
+Two kinds of dimension reach a join:
+
+* ``bounded`` ones whose size is fixed by construction (a literal list, a
+  filter on a unique key below a constant, a table whose row count the data
+  model fixes). They are broadcast without a check.
+* everything else is broadcast only after a cheap row-count check
+  (``limit(max_rows + 1).count()``, which stops reading once the bound is
+  passed). Past the bound the plain DataFrame is returned and the planner
+  falls back to a shuffle (sort-merge) join, where AQE may still split skewed
+  partitions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A narrow dimension row is well under 64 bytes in the broadcast hash relation,
+# so two million rows stay below ~128 MB per executor.
+DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+
+
+def fits(df: DataFrame, max_rows: int) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if fits(df, max_rows) else df
+
+
+class BroadcastPolicy:
+    """Remembers one decision per named dimension so a check runs once."""
+
+    def __init__(self, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS):
+        self.max_rows = max_rows
+        self._decided: dict[str, bool] = {}
+
+    def apply(self, name: str, df: DataFrame, bounded: bool = False) -> DataFrame:
+        if bounded:
+            return F.broadcast(df)
+        if name not in self._decided:
+            self._decided[name] = fits(df, self.max_rows)
+        return F.broadcast(df) if self._decided[name] else df
