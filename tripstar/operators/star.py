@@ -80,8 +80,11 @@ def weather_for_join(wh: Warehouse, cols=("temperature_2m", "precipitation", "ra
     with no shuffle of the rides; past the bound it becomes a sort-merge join
     on (zone, day), whose keys spread even a hot zone over its days.
     """
-    w = weather_zone(wh).select(F.col("zone_id").alias("w_zone"), F.col("date").alias("w_date"), *cols)
-    return wh.policy.apply("weather_zone", w)
+    z = wh.dim("dim_zones").select(F.col("zone_id").alias("z_key"))
+    w = (wh.table("dim_weather").filter(F.col("date").isNotNull())
+         .join(z, F.col("zone_id") == z.z_key, "left_semi")
+         .select(F.col("zone_id").alias("w_zone"), F.col("date").alias("w_date"), *cols))
+    return wh.policy.apply("weather_zone:" + ",".join(cols), w)
 
 
 def join_weather_day(df: DataFrame, wh: Warehouse, zone_col: str = "pickup_zone_id",
@@ -141,10 +144,10 @@ def fare_training(wh: Warehouse, weather_join: str = "day", week_start: str = "s
         F.datediff(ts, F.col("join_date")).alias("driver_experience_days"),
         "vehicle_year", "vehicle_make", "vehicle_model",
         "pickup_lat", "pickup_lon", "dropoff_lat", "dropoff_lon", *wcols,
-        cal.hour(ts).alias("hour"),
-        cal.day_of_week(ts, week_start).alias("day_of_week"),
-        cal.month(ts).alias("month"),
-        cal.year(ts).alias("year"))
+        cal.hour(ts).cast("long").alias("hour"),
+        cal.day_of_week(ts, week_start).cast("long").alias("day_of_week"),
+        cal.month(ts).cast("long").alias("month"),
+        cal.year(ts).cast("long").alias("year"))
 
 
 def fare_features(df: DataFrame) -> DataFrame:
@@ -181,7 +184,7 @@ def demand_training(wh: Warehouse, week_start: str = "sunday") -> DataFrame:
     ts = F.col("ride_date")
     counts = (rides(wh)
               .groupBy(F.col("pickup_zone_id").alias("zone_id"), F.to_date(ts).alias("date"),
-                       cal.hour(ts).alias("hour"))
+                       cal.hour(ts).cast("long").alias("hour"))
               .agg(F.count(F.lit(1)).alias("n")))
     z = wh.dim("dim_zones").select(F.col("zone_id").alias("z_key"), "center_lat", "center_lon")
     wcols = ["temperature_2m", "precipitation", "rain", "snowfall", "cloud_cover", "avg_wind_speed"]
@@ -191,8 +194,8 @@ def demand_training(wh: Warehouse, week_start: str = "sunday") -> DataFrame:
          .join(w, (counts.zone_id == w.w_zone) & (counts.date == w.w_date), "left"))
     keys = [
         F.col("zone_id"), F.col("hour"),
-        cal.day_of_week(F.col("date"), week_start).alias("day_of_week"),
-        cal.month(F.col("date")).alias("month"), cal.year(F.col("date")).alias("year"),
+        cal.day_of_week(F.col("date"), week_start).cast("long").alias("day_of_week"),
+        cal.month(F.col("date")).cast("long").alias("month"), cal.year(F.col("date")).cast("long").alias("year"),
         F.col("date"), F.col("center_lat"), F.col("center_lon"), *[F.col(c) for c in wcols],
     ]
     return j.groupBy(*keys).agg(F.sum("n").alias("ride_count"))

@@ -15,3 +15,19 @@ for _name in [
     "q_issue_by_location", "q_driver_complaints", "q_zone_hour_demand",
 ]:
     register(_name)(getattr(qs, _name))
+
+from tripstar.operators import views as vw  # noqa: E402
+
+for _name in [
+    "src_rides_star", "src_weather_zone", "src_tickets_agents", "src_fare_training", "src_demand_training",
+    "proj_calendar_names", "proj_calendar_parts", "proj_date_only", "proj_tenure_days", "proj_vehicle_age",
+    "proj_avg_speed", "proj_zone_distance", "proj_weather_impute", "proj_location_impute",
+    "proj_weather_severity", "proj_time_flags", "proj_weather_condition", "proj_numeric_coerce",
+    "proj_feature_vector_fare", "proj_feature_vector_demand", "proj_demand_level", "proj_demand_rounded",
+    "proj_minutes_to_hours", "proj_vehicle_label", "proj_trip_factors",
+    "flt_ride_date", "flt_weather_date", "flt_fare_valid", "flt_dropna_fare", "flt_min_rides",
+    "flt_temp_present", "flt_slice",
+    "join_zones_role", "join_vehicle_payment", "join_tenure", "join_weather_zone_inner", "join_agents",
+    "join_weather_day", "join_weather_exact", "join_calendar_reindex",
+]:
+    register(_name)(getattr(vw, _name))

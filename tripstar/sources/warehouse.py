@@ -60,6 +60,7 @@ class Warehouse:
         self._builders = builders
         self._frames: dict[str, DataFrame] = {}
         self.policy = policy or BroadcastPolicy()
+        self.raw: Tables | None = None  # raw tables, when bound onto test data
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in STAR_TABLES:
@@ -97,7 +98,9 @@ class Warehouse:
         t = Tables(spark, sf_dir)
         b = _TestdataBindings(t)
         builders = {n: getattr(b, n) for n in STAR_TABLES}
-        return cls(spark, builders, **kw)
+        wh = cls(spark, builders, **kw)
+        wh.raw = t
+        return wh
 
 
 class _TestdataBindings:
