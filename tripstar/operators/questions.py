@@ -56,8 +56,9 @@ def calendar_days(spark) -> DataFrame:
 
 def join_calendar_reindex(counts: DataFrame, spark, value: str) -> DataFrame:
     """All seven weekdays, Monday first; a weekday without rows gets null."""
+    # At most seven count rows: they form the build side of a right outer join.
     days = calendar_days(spark)
-    return (F.broadcast(days).join(counts, "day_order", "left")
+    return (F.broadcast(counts).join(days, "day_order", "right")
             .select("day_order", "day_of_week", value))
 
 

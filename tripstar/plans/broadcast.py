@@ -5,11 +5,15 @@ Two kinds of dimension reach a join:
 * ``bounded`` ones whose size is fixed by construction (a literal list, a
   filter on a unique key below a constant, a table whose row count the data
   model fixes). They are broadcast without a check.
-* everything else is broadcast only after a cheap row-count check
-  (``limit(max_rows + 1).count()``, which stops reading once the bound is
+* everything else is broadcast only after a row-count check
+  (``limit(max_rows + 1).count()``, which stops counting once the bound is
   passed). Past the bound the plain DataFrame is returned and the planner
   falls back to a shuffle (sort-merge) join, where AQE may still split skewed
   partitions.
+
+A dimension that passes the check is also cached, because a session that
+checks it is about to join it, usually more than once; the check result is
+kept per policy so every question of a session pays for it once.
 """
 
 from __future__ import annotations
@@ -31,15 +35,39 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS)
 
 
 class BroadcastPolicy:
-    """Remembers one decision per named dimension so a check runs once."""
+    """Remembers one decision (and the cached small frame) per named dimension."""
 
-    def __init__(self, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS):
+    def __init__(self, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, cache_small: bool = True):
         self.max_rows = max_rows
-        self._decided: dict[str, bool] = {}
+        self.cache_small = cache_small
+        self._small: dict[str, DataFrame | None] = {}
 
     def apply(self, name: str, df: DataFrame, bounded: bool = False) -> DataFrame:
         if bounded:
             return F.broadcast(df)
-        if name not in self._decided:
-            self._decided[name] = fits(df, self.max_rows)
-        return F.broadcast(df) if self._decided[name] else df
+        if name not in self._small:
+            if fits(df, self.max_rows):
+                self._small[name] = df.cache() if self.cache_small else df
+            else:
+                self._small[name] = None
+        small = self._small[name]
+        return F.broadcast(small) if small is not None else df
+
+    def decisions(self) -> dict[str, bool]:
+        return {k: v is not None for k, v in self._small.items()}
+
+    def release(self) -> None:
+        for df in self._small.values():
+            if df is not None and self.cache_small:
+                df.unpersist()
+        self._small.clear()
+
+
+_SHARED: dict[tuple, BroadcastPolicy] = {}
+
+
+def shared_policy(key: tuple) -> BroadcastPolicy:
+    """One policy per data source (e.g. per warehouse folder) within the process."""
+    if key not in _SHARED:
+        _SHARED[key] = BroadcastPolicy()
+    return _SHARED[key]

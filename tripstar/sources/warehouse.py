@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstar.plans.broadcast import BroadcastPolicy
+from tripstar.plans.broadcast import BroadcastPolicy, shared_policy
 from tripstar.sources.tables import Tables
 
 STAR_TABLES = (
@@ -80,6 +80,7 @@ class Warehouse:
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str, **kw) -> "Warehouse":
         builders = {n: (lambda n=n: spark.read.parquet(os.path.join(root, n))) for n in STAR_TABLES}
+        kw.setdefault("policy", shared_policy(("parquet", spark.sparkContext.applicationId, root)))
         return cls(spark, builders, **kw)
 
     @classmethod
@@ -98,6 +99,8 @@ class Warehouse:
         t = Tables(spark, sf_dir)
         b = _TestdataBindings(t)
         builders = {n: getattr(b, n) for n in STAR_TABLES}
+        kw.setdefault("policy", shared_policy(("testdata", spark.sparkContext.applicationId,
+                                               os.path.abspath(sf_dir))))
         wh = cls(spark, builders, **kw)
         wh.raw = t
         return wh
