@@ -31,3 +31,13 @@ for _name in [
     "join_weather_day", "join_weather_exact", "join_calendar_reindex",
 ]:
     register(_name)(getattr(vw, _name))
+
+from tripstar.operators import loading as ld  # noqa: E402
+
+for _name in [
+    "ingest_customers", "ingest_drivers", "ingest_vehicles", "ingest_tickets", "ingest_rides_full",
+    "src_csv_rides", "ingest_rides_batch", "sink_surrogate_ids",
+    "etl_clean_validate", "etl_unit_convert", "etl_zones_kmeans", "etl_zone_assign", "etl_weather_enrich",
+    "etl_resolution_time", "etl_dim_build", "etl_fact_build", "sink_warehouse_load", "src_weather_files",
+]:
+    register(_name)(getattr(ld, _name))

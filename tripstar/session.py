@@ -62,3 +62,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, name)
+
+
+class conf_scope:
+    """Set session configs for the duration of a ``with`` block, then restore them."""
+
+    def __init__(self, spark: SparkSession, settings: dict[str, str]):
+        self.spark, self.settings, self.saved = spark, settings, {}
+
+    def __enter__(self):
+        for k, v in self.settings.items():
+            self.saved[k] = self.spark.conf.get(k, None)
+            self.spark.conf.set(k, v)
+        return self.spark
+
+    def __exit__(self, *exc):
+        for k, v in self.saved.items():
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
+        return False
