@@ -41,3 +41,14 @@ for _name in [
     "etl_resolution_time", "etl_dim_build", "etl_fact_build", "sink_warehouse_load", "src_weather_files",
 ]:
     register(_name)(getattr(ld, _name))
+
+from tripstar.ml import queries as mlq  # noqa: E402
+
+for _name in [
+    "ml_split", "ml_scale", "ml_linear", "ml_metrics", "ml_mape", "ml_cv", "ml_selection_score",
+    "ml_score_backfill", "ml_select_best", "ml_metrics_table",
+    "ml_ridge", "ml_random_forest", "ml_gbt", "ml_gbt_subsampled", "ml_train_all", "ml_duration",
+    "ml_score_fare", "ml_score_demand", "ml_segment_customers",
+    "sink_models", "sink_metrics_json", "sink_metrics_csv", "sink_best_info", "sink_risk_zones", "sink_segments",
+]:
+    register(_name)(getattr(mlq, _name))
