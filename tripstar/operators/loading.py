@@ -142,3 +142,23 @@ def src_weather_files(wh: Warehouse) -> DataFrame:
     weather_feed_rows(wh).write.mode("overwrite").json(path)
     daily = files.weather_daily_rollup(files.read_weather_feed(wh.spark, path, "json"))
     return daily
+
+
+# ---------------------------------------------------------------- streaming ingest
+def ingest_stream_validate(wh: Warehouse, files_per_batch: int = 1, n_files: int = 4) -> DataFrame:
+    """Land the ticket batch as several files, drain them through the validated stream, read back.
+
+    Each run lands into a fresh folder with its own checkpoint, so the stream
+    sees exactly the files of this run.
+    """
+    import uuid
+
+    from tripstar.streaming.ingest import read_ingested, run_validated_ingest
+
+    run = _scratch(wh, f"ticket_stream/{uuid.uuid4().hex[:12]}")
+    incoming, valid, bad, ckpt = (f"{run}/incoming", f"{run}/valid", f"{run}/quarantine", f"{run}/_checkpoint")
+    rows = landing.landing_tickets(wh.raw)
+    rows.repartition(n_files, F.col("source_key") % n_files).write.mode("overwrite").parquet(incoming)
+    run_validated_ingest(wh.spark, incoming, rows.schema, ingest.validate_tickets, valid, bad, ckpt,
+                         max_files_per_trigger=files_per_batch)
+    return read_ingested(wh.spark, valid, bad).drop("batch_id")

@@ -39,6 +39,7 @@ for _name in [
     "src_csv_rides", "ingest_rides_batch", "sink_surrogate_ids",
     "etl_clean_validate", "etl_unit_convert", "etl_zones_kmeans", "etl_zone_assign", "etl_weather_enrich",
     "etl_resolution_time", "etl_dim_build", "etl_fact_build", "sink_warehouse_load", "src_weather_files",
+    "ingest_stream_validate",
 ]:
     register(_name)(getattr(ld, _name))
 
