@@ -38,20 +38,24 @@ def demand_rows(wh: Warehouse) -> DataFrame:
     return views.demand_feature_rows(wh)
 
 
-FARE_KEY = F.col("ride_id")
-DEMAND_KEY = F.concat_ws("|", F.col("zone_id").cast("string"), F.col("date").cast("string"),
-                         F.col("hour").cast("string"))
+def fare_key():
+    return F.col("ride_id")
+
+
+def demand_key():
+    return F.concat_ws("|", F.col("zone_id").cast("string"), F.col("date").cast("string"),
+                       F.col("hour").cast("string"))
 
 
 # ---------------------------------------------------------------- value-checked
 def ml_split(wh: Warehouse) -> DataFrame:
-    return ev.with_split(fare_rows(wh).select("ride_id"), FARE_KEY).withColumn(
-        "bucket", ev.hash_bucket(FARE_KEY))
+    return ev.with_split(fare_rows(wh).select("ride_id"), fare_key()).withColumn(
+        "bucket", ev.hash_bucket(fare_key()))
 
 
 def ml_scale(wh: Warehouse) -> DataFrame:
     """Mean and (sample) standard deviation the scaler learns on the training rows."""
-    rows = ev.with_split(fare_rows(wh), FARE_KEY).filter(~F.col("is_test"))
+    rows = ev.with_split(fare_rows(wh), fare_key()).filter(~F.col("is_test"))
     cols = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in fx.FARE_FEATURES]
     vec = VectorAssembler(inputCols=fx.FARE_FEATURES, outputCol="v").transform(rows.select(*cols))
     m = StandardScaler(inputCol="v", outputCol="s", withMean=True, withStd=True).fit(vec)
@@ -61,7 +65,7 @@ def ml_scale(wh: Warehouse) -> DataFrame:
 
 
 def _one_feature_fit(wh: Warehouse, feature: str = "distance_km"):
-    data = ev.with_split(fare_rows(wh), FARE_KEY).select(
+    data = ev.with_split(fare_rows(wh), fare_key()).select(
         F.col(feature).cast("double").alias("x"), F.col("fare_amount").cast("double").alias("label"), "is_test")
     vec = VectorAssembler(inputCols=["x"], outputCol="features").transform(data)
     model = LinearRegression(regParam=0.0, solver="normal").fit(vec.filter(~F.col("is_test")))
@@ -89,13 +93,13 @@ def ml_mape(wh: Warehouse) -> DataFrame:
 
 
 def candidates(wh: Warehouse) -> DataFrame:
-    fare = linear.candidate_metrics(fare_rows(wh), fx.FARE_FEATURES, "fare_amount", FARE_KEY, "fare")
-    demand = linear.candidate_metrics(demand_rows(wh), fx.DEMAND_FEATURES, "ride_count", DEMAND_KEY, "demand")
+    fare = linear.candidate_metrics(fare_rows(wh), fx.FARE_FEATURES, "fare_amount", fare_key(), "fare")
+    demand = linear.candidate_metrics(demand_rows(wh), fx.DEMAND_FEATURES, "ride_count", demand_key(), "demand")
     return fare.unionByName(demand)
 
 
 def ml_cv(wh: Warehouse) -> DataFrame:
-    return _r(linear.cv_folds(fare_rows(wh), fx.FARE_FEATURES, "fare_amount", FARE_KEY, "fare"), [])
+    return _r(linear.cv_folds(fare_rows(wh), fx.FARE_FEATURES, "fare_amount", fare_key(), "fare"), [])
 
 
 def ml_selection_score(wh: Warehouse) -> DataFrame:
@@ -124,7 +128,7 @@ def ml_metrics_table(wh: Warehouse) -> DataFrame:
 
 # ---------------------------------------------------------------- MLlib learners (rows-only)
 def _learner_metrics(wh: Warehouse, name: str) -> DataFrame:
-    metrics, _, _ = train.train_all(fare_rows(wh), fx.FARE_FEATURES, "fare_amount", FARE_KEY, "fare",
+    metrics, _, _ = train.train_all(fare_rows(wh), fx.FARE_FEATURES, "fare_amount", fare_key(), "fare",
                                     models=[name], cv=False)
     return metrics
 
@@ -155,24 +159,24 @@ def ml_train_all(wh: Warehouse) -> DataFrame:
     registered one by one (``ml_random_forest`` …) without CV, since a
     100-tree forest per fold would dominate the run.
     """
-    f, _, _ = train.train_all(fare_rows(wh), fx.FARE_FEATURES, "fare_amount", FARE_KEY, "fare", models=LINEAR_SET)
-    d, _, _ = train.train_all(demand_rows(wh), fx.DEMAND_FEATURES, "ride_count", DEMAND_KEY, "demand",
+    f, _, _ = train.train_all(fare_rows(wh), fx.FARE_FEATURES, "fare_amount", fare_key(), "fare", models=LINEAR_SET)
+    d, _, _ = train.train_all(demand_rows(wh), fx.DEMAND_FEATURES, "ride_count", demand_key(), "demand",
                               models=LINEAR_SET)
     return f.unionByName(d)
 
 
 def ml_duration(wh: Warehouse) -> DataFrame:
     """Trip-duration model: fare features without duration and speed, label duration_minutes."""
-    m, _, _ = train.train_all(fare_rows(wh), fx.DURATION_FEATURES, "duration_minutes", FARE_KEY, "duration",
+    m, _, _ = train.train_all(fare_rows(wh), fx.DURATION_FEATURES, "duration_minutes", fare_key(), "duration",
                               models=LINEAR_SET, cv=False)
     return m
 
 
 def _fit_best_linear(wh: Warehouse, task: str):
     if task == "fare":
-        rows, feats, label, key = fare_rows(wh), fx.FARE_FEATURES, "fare_amount", FARE_KEY
+        rows, feats, label, key = fare_rows(wh), fx.FARE_FEATURES, "fare_amount", fare_key()
     else:
-        rows, feats, label, key = demand_rows(wh), fx.DEMAND_FEATURES, "ride_count", DEMAND_KEY
+        rows, feats, label, key = demand_rows(wh), fx.DEMAND_FEATURES, "ride_count", demand_key()
     metrics, models, best = train.train_all(rows, feats, label, key, task, models=LINEAR_SET, cv=False)
     rmse = metrics.filter(F.col("model") == best).first()["test_rmse"]
     return models[best], rows, rmse
@@ -208,7 +212,7 @@ def sink_models(wh: Warehouse) -> DataFrame:
     path = _path(wh, "best_fare_model")
     train.save_model(model, path)
     loaded = train.load_model(path)
-    return loaded.transform(train.prepare(rows, fx.FARE_FEATURES, "fare_amount", FARE_KEY)) \
+    return loaded.transform(train.prepare(rows, fx.FARE_FEATURES, "fare_amount", fare_key())) \
         .select("label", "prediction", "is_test")
 
 
@@ -244,3 +248,18 @@ def sink_segments(wh: Warehouse) -> DataFrame:
     p = _path(wh, "customer_segments")
     ml_segment_customers(wh).write.mode("overwrite").option("header", True).csv(p)
     return wh.spark.read.option("header", True).option("inferSchema", True).csv(p)
+
+
+def src_models(wh: Warehouse) -> DataFrame:
+    """Load the saved best fare pipeline (saving one first if none exists) and list its stages."""
+    from pyspark.ml import PipelineModel
+
+    path = _path(wh, "best_fare_model")
+    try:
+        model = PipelineModel.load(path)
+    except Exception:
+        fitted, _, _ = _fit_best_linear(wh, "fare")
+        train.save_model(fitted, path)
+        model = train.load_model(path)
+    rows = [(i, type(s).__name__, s.uid) for i, s in enumerate(model.stages)]
+    return wh.spark.createDataFrame(rows, "stage int, kind string, uid string")

@@ -162,3 +162,9 @@ def ingest_stream_validate(wh: Warehouse, files_per_batch: int = 1, n_files: int
     run_validated_ingest(wh.spark, incoming, rows.schema, ingest.validate_tickets, valid, bad, ckpt,
                          max_files_per_trigger=files_per_batch)
     return read_ingested(wh.spark, valid, bad).drop("batch_id")
+
+
+def flt_required(wh: Warehouse) -> DataFrame:
+    """Landing customers whose required fields are all present and non-blank."""
+    ok, _ = ingest.split(ingest_customers(wh))
+    return ok

@@ -350,3 +350,21 @@ def q_zone_hour_demand(wh: Warehouse) -> DataFrame:
     return (star.rides(wh).filter(F.col("pickup_zone_id").isNotNull())
             .groupBy("pickup_zone_id", cal.hour("ride_date").cast("long").alias("hour"))
             .agg(F.count(F.lit(1)).alias("rides")).orderBy("pickup_zone_id", "hour"))
+
+
+# ---------------------------------------------------------------- generic top-k and sorted groups
+def topk_10(wh: Warehouse) -> DataFrame:
+    """The ten customers with the most rides (ties by id)."""
+    return top_k(count_by(star.rides(wh), "customer_id", "rides"), 10, "rides", ["customer_id"])
+
+
+def topk_15(wh: Warehouse) -> DataFrame:
+    """The fifteen drivers with the most rides (ties by id)."""
+    return top_k(count_by(star.rides(wh), "driver_id", "rides"), 15, "rides", ["driver_id"])
+
+
+def sort_groups(wh: Warehouse) -> DataFrame:
+    """Tickets per (issue type, priority), the whole grouped result sorted."""
+    t = wh.fact_support_tickets.filter(F.col("issue_type").isNotNull() & F.col("priority").isNotNull())
+    return (t.groupBy("issue_type", "priority").agg(F.count(F.lit(1)).alias("tickets"))
+            .orderBy(F.col("tickets").desc(), "issue_type", "priority"))

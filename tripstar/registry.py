@@ -12,7 +12,7 @@ for _name in [
     "q09_resolution_by_priority", "q10_agent_performance", "rev_overall", "rev_by_driver", "rev_daily",
     "agg_demand_grain", "agg_customer_ticket_profile", "agg_zone_risk",
     "q_demand_by_hour", "q_demand_by_month", "q_avg_tip_by_zone", "q_weather_duration_corr",
-    "q_issue_by_location", "q_driver_complaints", "q_zone_hour_demand",
+    "q_issue_by_location", "q_driver_complaints", "q_zone_hour_demand", "topk_10", "topk_15", "sort_groups",
 ]:
     register(_name)(getattr(qs, _name))
 
@@ -39,7 +39,7 @@ for _name in [
     "src_csv_rides", "ingest_rides_batch", "sink_surrogate_ids",
     "etl_clean_validate", "etl_unit_convert", "etl_zones_kmeans", "etl_zone_assign", "etl_weather_enrich",
     "etl_resolution_time", "etl_dim_build", "etl_fact_build", "sink_warehouse_load", "src_weather_files",
-    "ingest_stream_validate",
+    "ingest_stream_validate", "flt_required",
 ]:
     register(_name)(getattr(ld, _name))
 
@@ -50,6 +50,6 @@ for _name in [
     "ml_score_backfill", "ml_select_best", "ml_metrics_table",
     "ml_ridge", "ml_random_forest", "ml_gbt", "ml_gbt_subsampled", "ml_train_all", "ml_duration",
     "ml_score_fare", "ml_score_demand", "ml_segment_customers",
-    "sink_models", "sink_metrics_json", "sink_metrics_csv", "sink_best_info", "sink_risk_zones", "sink_segments",
+    "sink_models", "src_models", "sink_metrics_json", "sink_metrics_csv", "sink_best_info", "sink_risk_zones", "sink_segments",
 ]:
     register(_name)(getattr(mlq, _name))
