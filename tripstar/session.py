@@ -46,13 +46,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this setting names a shared file system path and is only read.
     When it is unset (local runs and tests) a fresh folder is made under the
-    system temp dir and registered, so lineage cuts still have a target.
+    system temp dir and registered as the context's checkpoint directory, so
+    lineage cuts still have a target.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="tripstar-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir", None)
+    if path:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(path)
+        return path
+    current = sc.getCheckpointDir()
+    if current:
+        # the context adds a per-application sub-folder; scratch tables go beside it
+        return os.path.dirname(current.rstrip("/"))
+    path = tempfile.mkdtemp(prefix="tripstar-ckpt-")
+    sc.setCheckpointDir(path)
     return path
 
 
