@@ -14,6 +14,8 @@ from tripstar.sources.warehouse import Warehouse
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
+# The same operators as functions of a Warehouse, for any back end (test data, loaded parquet, JDBC).
+OPERATORS: dict[str, Callable[[Warehouse], DataFrame]] = {}
 
 
 def register(name: str):
@@ -23,6 +25,7 @@ def register(name: str):
         run.__name__ = name
         run.__doc__ = fn.__doc__
         REGISTRY[name] = run
+        OPERATORS[name] = fn
         return fn
     return deco
 
@@ -35,6 +38,11 @@ def register_raw(name: str):
     return deco
 
 
+def all_operators() -> dict[str, Callable[[Warehouse], DataFrame]]:
+    from tripstar import registry  # noqa: F401
+    return dict(OPERATORS)
+
+
 def all_queries() -> dict[str, QueryFn]:
     # Importing the modules runs their registrations.
     from tripstar import registry  # noqa: F401

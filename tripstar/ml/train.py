@@ -54,6 +54,32 @@ def make_regressor(name: str, label_std: float | None = None, n_train: int | Non
     raise ValueError(f"unknown model {name!r}")
 
 
+def _memory_mb(value: str) -> int:
+    v = value.strip().lower()
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    if v and v[-1] == "b":
+        v = v[:-1]
+    if v and v[-1] in units:
+        return int(float(v[:-1]) * units[v[-1]])
+    return int(float(v))  # Spark reads a unit-less memory size as MiB
+
+
+def tree_memory_mb(spark) -> int:
+    """Per-task node-statistics budget for tree learners, 256–2048 MB.
+
+    A quarter of an executor's memory shared by its concurrent tasks. A larger
+    budget lets a forest split more nodes per pass over the data (fewer passes
+    for deep trees); it is an engine knob, the fitted model is the same.
+    """
+    sc = spark.sparkContext
+    conf = sc.getConf()
+    if sc.master.startswith("local"):
+        mb, cores = _memory_mb(conf.get("spark.driver.memory", "1g")), sc.defaultParallelism
+    else:
+        mb, cores = _memory_mb(conf.get("spark.executor.memory", "1g")), int(conf.get("spark.executor.cores", "4"))
+    return max(256, min(2048, mb // (4 * max(1, cores))))
+
+
 def make_pipeline(features: list[str], regressor, label: str = "label") -> Pipeline:
     return Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="raw_features", handleInvalid="keep"),
@@ -76,6 +102,7 @@ def _label_stats(train: DataFrame) -> tuple[float, int]:
 
 
 def fit_one(name: str, data: DataFrame, features: list[str], **kw) -> PipelineModel:
+    kw.setdefault("tree_memory_mb", tree_memory_mb(data.sparkSession))
     train = data.filter(~F.col("is_test"))
     std, n = _label_stats(train) if name == "Ridge" else (None, None)
     return make_pipeline(features, make_regressor(name, std, n, **kw)).fit(train)
@@ -94,6 +121,8 @@ def holdout(model: PipelineModel, data: DataFrame) -> dict:
 def cross_validate(name: str, data: DataFrame, features: list[str], n_folds: int = N_FOLDS,
                    parallelism: int = 1, **kw) -> tuple[float, float]:
     """RMSE mean and population std over hash folds of all rows; NaN if a fit fails."""
+    kw.setdefault("tree_memory_mb", tree_memory_mb(data.sparkSession))
+
     def one(f: int) -> float:
         train = data.filter(F.col("fold") != f)
         std, n = _label_stats(train) if name == "Ridge" else (None, None)

@@ -223,8 +223,11 @@ def flt_slice(wh: Warehouse, start: str = SLICE_DEFAULT["start"], end: str = SLI
     The date predicate is on the partition column of a loaded warehouse, so it
     prunes partitions (statically, or dynamically through the payment join).
     """
-    fr = wh.fact_rides.filter(F.to_date("ride_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
-                              & F.col("pickup_zone_id").isin(list(zones)))
+    lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
+    fr = wh.fact_rides
+    if "ride_day" in fr.columns:  # a loaded warehouse: the same range on the partition column prunes files
+        fr = fr.filter(F.col("ride_day").between(lo, hi))
+    fr = fr.filter(F.to_date("ride_date").between(lo, hi) & F.col("pickup_zone_id").isin(list(zones)))
     p = wh.dim("dim_payment_methods").filter(F.col("method_name").isin(list(methods)))
     return (fr.join(p, "payment_method_id")
             .select("ride_id", "ride_date", "pickup_zone_id", "method_name", "fare_amount"))
