@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tripstar.functions.calendar import col_
 
@@ -119,6 +120,13 @@ def numeric_or(c, default) -> Column:
     return F.coalesce(F.trim(col_(c).cast("string")).try_cast("double"), F.lit(float(default)))
 
 
+def coerce_numeric(df: DataFrame, c: str, default) -> Column:
+    """``numeric_or`` that skips the text round trip when ``c`` is already numeric."""
+    if isinstance(df.schema[c].dataType, NumericType):
+        return F.coalesce(F.col(c).cast("double"), F.lit(float(default)))
+    return numeric_or(c, default)
+
+
 def demand_level(pred) -> Column:
     p = col_(pred)
     return (F.when(p < DEMAND_LOW_BELOW, F.lit("Low"))

@@ -165,8 +165,9 @@ def q06_temperature_bins(wh: Warehouse, nbins: int = 10, with_labels: bool = Fal
     literals, so assigning bins is a plain projection. Empty bins are kept by a
     left join from the (fixed-size) list of bin numbers.
     """
+    # One row per distinct temperature: read twice (min/max, then bins), so cached.
     temps = (zone_day_with_weather(wh).filter(F.col("temperature_2m").isNotNull())
-             .groupBy("temperature_2m").agg(F.sum("n").alias("n")))
+             .groupBy("temperature_2m").agg(F.sum("n").alias("n"))).cache()
     lo, hi = temps.agg(F.min("temperature_2m"), F.max("temperature_2m")).first()
     spark = wh.spark
     schema = "temp_bin int, bin_lower double, bin_upper double"

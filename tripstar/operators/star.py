@@ -153,12 +153,12 @@ def fare_training(wh: Warehouse, weather_join: str = "day", week_start: str = "s
 def fare_features(df: DataFrame) -> DataFrame:
     """Model-ready fare rows: coerced tenure/years, trip, weather and time features."""
     out = df.withColumns({
-        "customer_age_days": fx.numeric_or("customer_age_days", 0),
-        "driver_experience_days": fx.numeric_or("driver_experience_days", 0),
-        "vehicle_year": fx.numeric_or("vehicle_year", fx.DEFAULT_VEHICLE_YEAR),
-        "year": fx.numeric_or("year", fx.DEFAULT_RIDE_YEAR),
-        "distance_km": fx.numeric_or("distance_km", 0),
-        "duration_minutes": fx.numeric_or("duration_minutes", 0),
+        "customer_age_days": fx.coerce_numeric(df, "customer_age_days", 0),
+        "driver_experience_days": fx.coerce_numeric(df, "driver_experience_days", 0),
+        "vehicle_year": fx.coerce_numeric(df, "vehicle_year", fx.DEFAULT_VEHICLE_YEAR),
+        "year": fx.coerce_numeric(df, "year", fx.DEFAULT_RIDE_YEAR),
+        "distance_km": fx.coerce_numeric(df, "distance_km", 0),
+        "duration_minutes": fx.coerce_numeric(df, "duration_minutes", 0),
     })
     out = out.withColumns({
         "vehicle_age": F.col("year") - F.col("vehicle_year"),

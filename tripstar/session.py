@@ -59,6 +59,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         # the context adds a per-application sub-folder; scratch tables go beside it
         return os.path.dirname(current.rstrip("/"))
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage: "
+                           "checkpoints and intermediate tables must survive a lost executor")
     path = tempfile.mkdtemp(prefix="tripstar-ckpt-")
     sc.setCheckpointDir(path)
     return path
