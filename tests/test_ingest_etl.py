@@ -144,3 +144,15 @@ def test_partitioned_load_replaces_only_present_days(spark):
     etl.load_partitioned(mk([(3, T0)]), path)
     got = sorted(r.ride_id for r in etl.read_partitioned(spark, path).collect())
     assert got == [2, 3]
+
+
+def test_append_counts_and_reruns_are_idempotent(spark):
+    base = tempfile.mkdtemp(prefix="append-")
+    ok, bad = os.path.join(base, "ok"), os.path.join(base, "bad")
+    df = spark.createDataFrame([("A", "B", "a@b", "1"), ("A", "", "a@b", "1"), ("C", "D", "c@d", "2")],
+                               "first_name string, last_name string, email string, phone string")
+    v = ingest.validate_customers(df)
+    assert ingest.append(v, ok, bad, load_id="2024-03-01") == {"valid": 2, "quarantined": 1}
+    ingest.append(v, ok, bad, load_id="2024-03-01")  # the same load again: replaced, not doubled
+    ingest.append(v, ok, bad, load_id="2024-03-02")
+    assert spark.read.parquet(ok).count() == 4 and spark.read.parquet(bad).count() == 2

@@ -3,8 +3,8 @@
 Each ``validate_*`` returns the batch with defaults applied and a
 ``reject_reason`` column (null for valid rows, else the ``;``-joined names of
 the failed rules). ``split`` turns that into the valid and quarantine sides;
-``append`` writes the valid side and reports counts through an
-``Observation`` (no extra pass over the data).
+``append`` writes both sides idempotently per load and reports counts
+through an ``Observation`` (no extra pass over the data).
 
 Where a form inserts one record and any bad value aborts, a batch here keeps
 its good rows and quarantines the bad ones with the reason.
@@ -51,12 +51,21 @@ def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ok, bad
 
 
-def append(validated: DataFrame, valid_path: str, quarantine_path: str, fmt: str = "parquet") -> dict:
-    """Append both sides of a validated batch; returns row counts observed while writing."""
+def append(validated: DataFrame, valid_path: str, quarantine_path: str, load_id: str,
+           fmt: str = "parquet") -> dict:
+    """Write both sides of a validated batch under its ``load_id``; returns observed row counts.
+
+    Each side is partitioned by ``load_id`` and written with dynamic partition
+    overwrite, so re-running a load (after a lost executor or a failed job)
+    replaces that load's rows instead of appending them twice; other loads are
+    untouched. Counts come from ``Observation`` metrics collected while writing.
+    """
     obs_ok, obs_bad = Observation("valid"), Observation("quarantined")
     ok, bad = split(validated)
-    ok.observe(obs_ok, F.count(F.lit(1)).alias("rows")).write.mode("append").format(fmt).save(valid_path)
-    bad.observe(obs_bad, F.count(F.lit(1)).alias("rows")).write.mode("append").format(fmt).save(quarantine_path)
+    for side, obs, path in ((ok, obs_ok, valid_path), (bad, obs_bad, quarantine_path)):
+        (side.withColumn("load_id", F.lit(load_id)).observe(obs, F.count(F.lit(1)).alias("rows"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("load_id").format(fmt).save(path))
     return {"valid": obs_ok.get["rows"], "quarantined": obs_bad.get["rows"]}
 
 
