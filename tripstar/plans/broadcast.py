@@ -5,11 +5,13 @@ Two kinds of dimension reach a join:
 * ``bounded`` ones whose size is fixed by construction (a literal list, a
   filter on a unique key below a constant, a table whose row count the data
   model fixes). They are broadcast without a check.
-* everything else is broadcast only after a row-count check
-  (``limit(max_rows + 1).count()``, which stops counting once the bound is
-  passed). Past the bound the plain DataFrame is returned and the planner
-  falls back to a shuffle (sort-merge) join, where AQE may still split skewed
-  partitions.
+* everything else is broadcast only after a row-count check: is there a row
+  past the first ``max_rows``? (``offset(max_rows).isEmpty()`` on a projection
+  of no columns — a ``CollectLimit`` that scans partitions incrementally and
+  stops as soon as the answer is known, reading no column data; a huge table
+  costs a few partitions, not a scan.) Past the bound the plain DataFrame is
+  returned and the planner falls back to a shuffle (sort-merge) join, where
+  AQE may still split skewed partitions.
 
 A dimension that passes the check is also cached, because a session that
 checks it is about to join it, usually more than once; the check result is
@@ -27,7 +29,8 @@ DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+    """At most ``max_rows`` rows?"""
+    return df.select(F.lit(1).alias("_one")).offset(max_rows).isEmpty()
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
