@@ -14,6 +14,7 @@ in the value-checked queries (the MLlib learners live in ``tripstar.ml.train``).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +60,13 @@ def fold_metrics(long: DataFrame, n_folds: int = N_FOLDS) -> DataFrame:
 
 
 def _prepared(df: DataFrame, features: list[str], label: str, key, n_folds: int) -> DataFrame:
-    return long_form(with_fold(with_split(df, key), key, n_folds), features, label)
+    # The model rows are read four times (fit and score, hold-out and CV): keep the
+    # narrow feature rows, not the exploded long form, in memory (spilling to disk).
+    cols = [F.col(f).cast("double").alias(f) for f in features]
+    rows = (with_fold(with_split(df, key), key, n_folds)
+            .select(*cols, F.col(label).cast("double").alias(label), "is_test", "fold")
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    return long_form(rows, features, label)
 
 
 def _model_cols(task: str, features: list[str]):

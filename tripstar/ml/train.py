@@ -181,12 +181,14 @@ def load_model(path: str) -> PipelineModel:
 
 def save_metrics(metrics: DataFrame, json_path: str, csv_path: str) -> None:
     """Nested JSON (task → model → metrics) and a flat CSV, both written by Spark."""
+    metrics = metrics.persist()  # written twice below; a metrics table is a few rows per model
     metric_cols = [c for c in metrics.columns if c not in ("task", "model", "model_order")]
     nested = (metrics.groupBy("task")
               .agg(F.map_from_entries(F.collect_list(F.struct("model", F.struct(*metric_cols)))).alias("models")))
     nested.coalesce(1).write.mode("overwrite").json(json_path)
     metrics.drop("model_order").orderBy("task", "model").coalesce(1) \
         .write.mode("overwrite").option("header", True).csv(csv_path)
+    metrics.unpersist()
 
 
 def best_info(metrics: DataFrame) -> DataFrame:
