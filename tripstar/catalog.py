@@ -30,14 +30,6 @@ def register(name: str):
     return deco
 
 
-def register_raw(name: str):
-    """Register a callable that takes (spark, sf_dir) itself."""
-    def deco(fn: QueryFn):
-        REGISTRY[name] = fn
-        return fn
-    return deco
-
-
 def all_operators() -> dict[str, Callable[[Warehouse], DataFrame]]:
     from tripstar import registry  # noqa: F401
     return dict(OPERATORS)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripstar.sources.tables import Tables
-from tripstar.sources.warehouse import ISSUE_BY_EVENT, PRIORITY_CYCLE, STATUS_CYCLE, _cycle
+from tripstar.sources.warehouse import ISSUE_BY_EVENT, PRIORITY_CYCLE, STATUS_CYCLE, cycle_of
 
 # Fixed values of the binding: colours and vehicle types cycle by part key
 # ('' and 'Van' are deliberately invalid).
@@ -55,8 +55,8 @@ def landing_vehicles(t: Tables) -> DataFrame:
         F.concat(F.lit("PL-"), k.cast("string")).alias("license_plate"),
         F.col("p_brand").alias("make"), F.col("p_type").alias("model"),
         (F.lit(1985) + F.col("p_size") % 45).cast("int").alias("year"),
-        _cycle(k, COLOR_CYCLE).alias("color"),
-        _cycle(k, TYPE_CYCLE).alias("vehicle_type"),
+        cycle_of(k, COLOR_CYCLE).alias("color"),
+        cycle_of(k, TYPE_CYCLE).alias("vehicle_type"),
         F.when(k % 4 != 0, F.lit(True)).alias("is_active"))
 
 
@@ -73,8 +73,8 @@ def landing_tickets(t: Tables) -> DataFrame:
         (e % 100).alias("driver_id"),
         issue.alias("issue_type"),
         F.when(e % 29 == 0, F.lit(" ")).otherwise(F.col("props")).alias("description"),
-        F.when(e % 5 != 0, _cycle(e, STATUS_CYCLE)).alias("status"),
-        F.when(e % 7 != 0, _cycle(e, PRIORITY_CYCLE)).alias("priority"),
+        F.when(e % 5 != 0, cycle_of(e, STATUS_CYCLE)).alias("status"),
+        F.when(e % 7 != 0, cycle_of(e, PRIORITY_CYCLE)).alias("priority"),
         (e % 10).alias("assigned_agent_id"))
 
 

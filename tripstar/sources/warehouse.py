@@ -43,7 +43,7 @@ STATUS_CYCLE = ["Open", "In Progress", "Resolved", "Closed"]
 N_ZONES = 24
 
 
-def _cycle(col, values):
+def cycle_of(col, values):
     """values[col % len(values)] as a CASE expression."""
     expr = None
     for i, v in enumerate(values):
@@ -212,8 +212,8 @@ class _TestdataBindings:
                 .select(eid.alias("ticket_id"), F.col("user_id").alias("customer_id"),
                         F.when(eid % 13 != 0, eid % 10).alias("agent_id"),
                         issue.alias("issue_type"),
-                        _cycle(eid, PRIORITY_CYCLE).alias("priority"),
-                        _cycle(eid, STATUS_CYCLE).alias("status"),
+                        cycle_of(eid, PRIORITY_CYCLE).alias("priority"),
+                        cycle_of(eid, STATUS_CYCLE).alias("status"),
                         F.col("ts").alias("opened_at"),
                         _add_minutes(F.col("ts"), res).alias("closed_at"),
                         res.alias("resolution_time_minutes"),
