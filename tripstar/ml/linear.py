@@ -62,9 +62,9 @@ def fold_metrics(long: DataFrame, n_folds: int = N_FOLDS) -> DataFrame:
 def _prepared(df: DataFrame, features: list[str], label: str, key, n_folds: int) -> DataFrame:
     # The model rows are read four times (fit and score, hold-out and CV): keep the
     # narrow feature rows, not the exploded long form, in memory (spilling to disk).
-    cols = [F.col(f).cast("double").alias(f) for f in features]
+    cols = [F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, label])]
     rows = (with_fold(with_split(df, key), key, n_folds)
-            .select(*cols, F.col(label).cast("double").alias(label), "is_test", "fold")
+            .select(*cols, "is_test", "fold")
             .persist(StorageLevel.MEMORY_AND_DISK))
     return long_form(rows, features, label)
 
