@@ -127,3 +127,12 @@ def test_weekend_convention_sunday_zero(spark):
     # {5, 6} is Friday + Saturday when 0 = Sunday, Saturday + Sunday when 0 = Monday
     assert df.select(fx.is_weekend(cal.dow_sunday0("ts"))).first()[0] == 0
     assert df.select(fx.is_weekend(cal.dow_monday0("ts"))).first()[0] == 1
+
+
+def test_day_and_month_names_match_pandas(spark):
+    from tripstar.functions import calendar as cal
+    days = pd.date_range("2023-12-25", periods=400, freq="D")
+    df = spark.createDataFrame([(d.to_pydatetime(),) for d in days], "ts timestamp_ntz")
+    got = df.select(cal.day_name("ts").alias("d"), cal.month_name("ts").alias("m")).collect()
+    assert [r.d for r in got] == list(days.day_name())
+    assert [r.m for r in got] == list(days.month_name())

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# English day names in Monday-first order (the dashboard's axis order).
+# English day names in Monday-first order (the dashboard's axis order)
+# and English month names. Names come from these lists, not from date_format, so
+# they do not depend on the JVM locale and cost an array lookup per row.
 DAY_ORDER = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July", "August", "September",
+               "October", "November", "December"]
 
 
 def col_(c) -> Column:
@@ -36,11 +40,13 @@ def day_of_week(ts, week_start: str = "sunday") -> Column:
 
 
 def day_name(ts) -> Column:
-    return F.date_format(col_(ts), "EEEE")
+    names = F.array(*[F.lit(d) for d in DAY_ORDER])
+    return F.element_at(names, F.weekday(col_(ts)) + 1)
 
 
 def month_name(ts) -> Column:
-    return F.date_format(col_(ts), "MMMM")
+    names = F.array(*[F.lit(m) for m in MONTH_NAMES])
+    return F.element_at(names, F.month(col_(ts)))
 
 
 def month(ts) -> Column:
