@@ -94,3 +94,27 @@ class conf_scope:
             else:
                 self.spark.conf.set(k, v)
         return False
+
+
+def sizing(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Shuffle and scan settings for a run over ``input_bytes`` of parquet on ``total_cores`` cores.
+
+    Scan splits and shuffle partitions aim at ``target_partition_bytes`` each
+    (about 256 MB: fits an executor core's share of memory with room to spill),
+    with at least two waves of tasks so stragglers overlap; AQE then coalesces
+    small partitions and splits skewed ones (a partition over five times the
+    median and over 1 GB is split). For 100 TB on 1,000 executors × 8 cores
+    this gives ~400k shuffle partitions, i.e. ~50 waves of 256 MB tasks.
+    """
+    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1 << 30),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
