@@ -23,3 +23,11 @@ def test_registry_imports_without_session():
     import tripstar.oracle_queries as oq
     importlib.reload(oq)
     assert "q01_top_pickup_zones" in oq.SQL
+
+
+def test_sizing_targets_partition_size_and_waves():
+    from tripstar.session import sizing
+    big = sizing(100 * 2 ** 40, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * 2 ** 40 // (256 << 20)
+    small = sizing(10 << 20, 8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16  # at least two waves
