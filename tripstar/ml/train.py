@@ -139,10 +139,23 @@ def cross_validate(name: str, data: DataFrame, features: list[str], n_folds: int
     return mean, math.sqrt(sum((x - mean) ** 2 for x in rmses) / len(rmses))
 
 
+LINEAR_MODELS = ("LinearRegression", "Ridge")
+
+
+def default_cv_parallelism(name: str, n_folds: int) -> int:
+    """Folds fit concurrently: all of them for the light linear fits, two for tree ensembles
+    (whose per-fit node statistics are the memory-heavy part)."""
+    return n_folds if name in LINEAR_MODELS else 2
+
+
 def train_all(df: DataFrame, features: list[str], label: str, key, task: str,
               models: list[str] | None = None, cv: bool = True, n_folds: int = N_FOLDS,
-              cv_parallelism: int = 1, **kw) -> tuple[DataFrame, dict[str, PipelineModel], str]:
-    """Fit every model of the set, score it, pick the best. Returns (metrics, models, best name)."""
+              cv_parallelism: int | None = None, **kw) -> tuple[DataFrame, dict[str, PipelineModel], str]:
+    """Fit every model of the set, score it, pick the best. Returns (metrics, models, best name).
+
+    CV folds are independent fits submitted from a small driver thread pool, so
+    the executors work on several folds at once; results do not depend on it.
+    """
     spark = df.sparkSession
     checkpoint_dir(spark)  # tree learners checkpoint their node ids
     data = prepare(df, features, label, key, n_folds)
@@ -156,7 +169,8 @@ def train_all(df: DataFrame, features: list[str], label: str, key, task: str,
             model = fit_one(name, data, features, **kw)
             fitted[name] = model
             m = holdout(model, data)
-            cv_mean, cv_std = (cross_validate(name, data, features, n_folds, cv_parallelism, **kw)
+            par = cv_parallelism or default_cv_parallelism(name, n_folds)
+            cv_mean, cv_std = (cross_validate(name, data, features, n_folds, par, **kw)
                                if cv else (math.nan, math.nan))
             rows.append((task, name, i, m.get("train_rmse"), m.get("test_rmse"), m.get("train_mae"),
                          m.get("test_mae"), m.get("train_r2"), m.get("test_r2"), cv_mean, cv_std))
