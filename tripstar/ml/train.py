@@ -143,9 +143,10 @@ LINEAR_MODELS = ("LinearRegression", "Ridge")
 
 
 def default_cv_parallelism(name: str, n_folds: int) -> int:
-    """Folds fit concurrently: all of them for the light linear fits, two for tree ensembles
-    (whose per-fit node statistics are the memory-heavy part)."""
-    return n_folds if name in LINEAR_MODELS else 2
+    """Folds fit concurrently: all of them for the light linear fits, one at a time for tree
+    ensembles (a single fit already fills the executors, and its node statistics are sized
+    per task by ``tree_memory_mb``)."""
+    return n_folds if name in LINEAR_MODELS else 1
 
 
 def train_all(df: DataFrame, features: list[str], label: str, key, task: str,
