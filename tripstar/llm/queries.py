@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstar.llm import bpe, decontaminate, embeddings, sharding, simhash, substring
+from tripstar.llm import bpe, decontaminate, embeddings, lines, quality, sharding, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                       (n_hit > 0).alias("contaminated"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines kept and dropped of every document, its source being the site."""
+    out = lines.counted(table(spark, sf_dir, "documents"), F.col("source"))
+    return out.select("doc_id", F.col("source").alias("host"), F.col("__n_lines").alias("n_lines"),
+                      F.col("__n_dropped").alias("n_dropped"),
+                      F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
     out = sharding.histogram_shards(table(spark, sf_dir, "documents"), 24)
@@ -55,6 +63,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    out = quality.with_score(docs.select("doc_id", "text"), quality.fit(docs, table(spark, sf_dir, "labels")), "score")
+    return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+                      (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_substring_dedup, op3_benchmark_decontamination, op5_sharding, op6_embedding_near_dedup, op7_byte_bpe, op9_simhash)}
-SQL: dict[str, str] = {}
+    op2_substring_dedup, op3_benchmark_decontamination, op4_line_dedup, op5_sharding, op6_embedding_near_dedup, op7_byte_bpe, op9_simhash,
+    op10_quality_classifier)}
+SQL: dict[str, str] = {"op4_line_dedup": lines.oracle_sql()}
