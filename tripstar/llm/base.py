@@ -41,8 +41,8 @@ def drop_written(df: DataFrame) -> None:
     p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch cut into slices of at most :data:`SLICE_BYTES` of text (one row at least)."""
+def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch cut into slices of at most ``size`` bytes of text (one row at least)."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -53,7 +53,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.Reco
     start = 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 

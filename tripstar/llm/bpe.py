@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from tripstar.llm.base import map_arrow, spark_schema, text_slices
 
-CACHE_WORDS = 300_000
-LONG_WORD = 256
+#: Words remembered by a worker; bytes from which a word is contracted by a heap; bytes of text in one slice; ids
+#: decoded by one query.
+CACHE_WORDS, LONG_WORD, SLICE, DECODE_IDS = 200_000, 256, 2 << 20, 400_000
 
 CONTRACT = """
 WITH RECURSIVE state(word, toks) AS (
@@ -65,21 +67,21 @@ class Coder:
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), rank.append(r)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         self._table("merges", {"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()),
                                "rank": pa.array(rank, pa.int32())})
         # A token's bytes as a string of the characters 0 to 255, which ordered aggregation can join.
         self._table("vocab", {"id": pa.array(list(ranks.values()), pa.int32()),
                               "piece": pa.array([t.decode("latin-1") for t in ranks], pa.string())})
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}   # word → its ids as 32-bit integers
 
     def _table(self, name: str, columns: dict) -> None:
         self.con.register("incoming", pa.table(columns))
         self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
         self.con.unregister("incoming")
 
-    def contract(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word, by the recursive query."""
+    def contract(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word (as 32-bit integers in bytes), by the recursive query."""
         import numpy as np
 
         offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32)
@@ -87,9 +89,10 @@ class Coder:
         self.con.register("words", pa.table({
             "word": pa.array(np.arange(len(words), dtype=np.int32)),
             "toks": pa.ListArray.from_arrays(pa.array(offsets), pa.array(toks))}))
-        got = self.con.sql(CONTRACT).to_arrow_table().column("toks").to_pylist()
+        got = self.con.sql(CONTRACT).to_arrow_table().column("toks").combine_chunks()
         self.con.unregister("words")
-        return got
+        ends, ids = (got.offsets.to_numpy() * 4).tolist(), got.values.to_numpy().tobytes()
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
 
     def contract_long(self, word: bytes) -> list[int]:
         """The same contractions of one long word, the next pair taken from a heap of (rank, position)."""
@@ -128,28 +131,33 @@ class Coder:
                 continue
             b = w.encode()
             if (whole := self.ranks.get(b)) is not None:
-                self.known[w] = [whole]
+                self.known[w] = whole.to_bytes(4, "little")
             elif len(b) > LONG_WORD:
-                self.known[w] = self.contract_long(b)
+                self.known[w] = array("i", self.contract_long(b)).tobytes()
             else:
                 todo.append(b), plain.append(w)
         if todo:
             self.known.update(zip(plain, self.contract(todo)))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text."""
+        import numpy as np
+
         cut = [self.pattern.findall(t) for t in texts]
         words: set[str] = set()
         for c in cut:
             words.update(c)
         self.learn(words)
-        known = self.known
-        return [[i for w in c for i in known[w]] for c in cut]
+        known = self.known.__getitem__
+        ids = [b"".join(map(known, c)) for c in cut]
+        ends = np.cumsum([0] + [len(x) // 4 for x in ids])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
     def decode(self, ids: pa.ListArray) -> list[bytes]:
         """The bytes of each list of ids (null: none)."""
         import numpy as np
 
-        lengths = np.array([0 if x is None else x for x in pa.compute.list_value_length(ids).to_pylist()])
+        lengths = pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
         doc = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
         out = [b""] * len(ids)
         self.con.register("tokens", pa.table({"doc": doc, "pos": np.arange(len(doc), dtype=np.int32),
@@ -182,6 +190,25 @@ def _coder(data: bytes, pattern: str) -> Coder:
     return _CODERS[key]
 
 
+def _ids(batch: pa.RecordBatch, coder: Coder) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+    for part in text_slices(batch, "_text", SLICE):
+        yield part, coder.encode([t or "" for t in part.column("_text").to_pylist()])
+
+
+def _chars(ids: pa.ListArray, coder: Coder) -> pa.Array:
+    """Decoded bytes, by queries over about DECODE_IDS ids (one document at least)."""
+    import numpy as np
+
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+    out, at = [], 0
+    while at < len(ids):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + DECODE_IDS, side="right")))
+        out += coder.decode(ids.slice(at, stop - at))
+        at = stop
+    return pa.array(out, pa.binary())
+
+
 def encode(docs: DataFrame, ranks: bytes, pattern: str, keep: list[str], column: str = "text") -> DataFrame:
     """The ``keep`` columns and ``ids`` array<int>: the tokens of the whole text, without special tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
@@ -189,39 +216,42 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, keep: list[str], column:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value, pattern)
         for batch in batches:
-            for part in text_slices(batch, "_text"):
-                ids = coder.encode([t or "" for t in part.column("_text").to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in keep] + [pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
+            for part, ids in _ids(batch, coder):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids], names=[*keep, "ids"])
 
     return map_arrow(docs.select(*keep, docs[column].alias("_text")), run,
                      f"{spark_schema(docs, keep)}, ids array<int>")
 
 
 def decode(tokens: DataFrame, ranks: bytes, pattern: str, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns, ``ids`` and ``decoded`` binary: the bytes that the ids stand for."""
+    """The ``keep`` columns, ``ids`` and ``decoded`` binary: the bytes that the ids stand for (null ids: none)."""
     shared = tokens.sparkSession.sparkContext.broadcast(ranks)
     columns = [*keep, "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value, pattern)
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:   # about 2 million ids a query
-                n = 1
-                size = len(batch.column("ids")[at] or ())
-                while at + n < batch.num_rows and size + len(batch.column("ids")[at + n] or ()) <= 2_000_000:
-                    size += len(batch.column("ids")[at + n] or ())
-                    n += 1
-                part = batch.slice(at, n)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in columns] + [pa.array(coder.decode(part.column("ids")), pa.binary())],
-                    names=[*columns, "decoded"])
-                at += n
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in columns), _chars(batch.column("ids"), coder)], names=[*columns, "decoded"])
 
     return map_arrow(tokens.select(*columns), run, f"{spark_schema(tokens, columns)}, decoded binary")
 
 
+def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, keep: list[str], column: str = "text") -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass of one worker: keep columns, ids and decoded."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(shared.value, pattern)
+        for batch in batches:
+            for part, ids in _ids(batch, coder):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, _chars(ids, coder)],
+                                                 names=[*keep, "ids", "decoded"])
+
+    return map_arrow(docs.select(*keep, docs[column].alias("_text")), run,
+                     f"{spark_schema(docs, keep)}, ids array<int>, decoded binary")
+
+
 def default_ranks() -> tuple[bytes, str]:
     """The public 50k byte-level vocabulary and the pattern that goes with it."""
     import public_tokenizers
@@ -232,7 +262,7 @@ def default_ranks() -> tuple[bytes, str]:
 def round_trip(docs: DataFrame) -> DataFrame:
     """doc_id, ids and decoded for every whole text, with the public vocabulary."""
     ranks, pattern = default_ranks()
-    return decode(encode(docs, ranks, pattern, ["doc_id"]), ranks, pattern, ["doc_id"])
+    return encode_decode(docs, ranks, pattern, ["doc_id"])
 
 
 
@@ -242,6 +272,6 @@ def checked_tokens(docs: DataFrame) -> DataFrame:
     ranks, pattern = default_ranks()
     keep = ["doc_id", "sha"]
     hashed = docs.withColumn("sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    out = decode(encode(hashed, ranks, pattern, keep), ranks, pattern, keep)
+    out = encode_decode(hashed, ranks, pattern, keep)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                       (F.sha2("decoded", 256) == F.col("sha")).alias("lossless"))
