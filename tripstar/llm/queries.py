@@ -6,13 +6,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstar.llm import bpe, decontaminate, embeddings, lines, quality, sharding, simhash, substring
+from tripstar.llm import bpe, decontaminate, embeddings, lines, quality, secrets, sharding, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    rules = secrets.BASE + secrets.MORE
+    out = secrets.scan(table(spark, sf_dir, "documents"), rules)
+    base = F.filter("found", lambda x: x["k"] < len(secrets.BASE))
+    counts = [F.size(F.expr(f"filter(found, x -> x.k = {i})")).cast("long").alias(f"n_{r.kind}")
+              for i, r in enumerate(secrets.BASE)]
+    return out.select("doc_id", *counts, F.sha2(secrets.joined(base, rules), 256).alias("base_sha256"),
+                      secrets.joined(F.col("found"), rules).alias("spans"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that a window which also starts earlier covers are removed."""
     out = substring.remove_repeats(table(spark, sf_dir, "documents"))
@@ -72,6 +83,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_substring_dedup, op3_benchmark_decontamination, op4_line_dedup, op5_sharding, op6_embedding_near_dedup, op7_byte_bpe, op9_simhash,
+    op1_secret_scans, op2_substring_dedup, op3_benchmark_decontamination, op4_line_dedup, op5_sharding, op6_embedding_near_dedup, op7_byte_bpe, op9_simhash,
     op10_quality_classifier)}
-SQL: dict[str, str] = {"op4_line_dedup": lines.oracle_sql()}
+SQL: dict[str, str] = {"op1_secret_scans": secrets.oracle_sql(), "op4_line_dedup": lines.oracle_sql()}
