@@ -1,36 +1,59 @@
-"""The corpus pipeline: stages over the documents table, each calling one operator of ``tripstar.llm``."""
+"""The corpus pipeline: five stages over the documents table, each calling one operator of ``tripstar.llm``.
+
+Every stage takes what its predecessor kept, written as Parquet and read again, and returns the columns of documents
+(the last one: the tokens of each document). A stage's decisions take effect on the rows it returns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tripstar.llm import bpe, decontaminate
+from tripstar.llm import bpe, decontaminate, lines, quality, simhash
 from tripstar.llm.base import written
 
 
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts (score at least 0.3)."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that are boilerplate of their source."""
+    return lines.drop_boilerplate(docs, F.col("source"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each SimHash component."""
+    return simhash.deduplicated(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     return decontaminate.removed(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the token ids of the whole text, and whether they decode to it."""
+    """doc_id, n_tokens, the token ids of the whole text, and whether they decode to its very bytes."""
     return bpe.checked_tokens(docs)
 
 
 STAGES = [
+    ("quality classifier", drop_low_quality),
+    ("line dedup", drop_boilerplate_lines),
+    ("SimHash near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
-    ("byte-level BPE", encode),
+    ("byte-level BPE encoding and decoding", encode),
 ]
 
-#: SQL can express neither the fitted classifier nor the tokenizer.
+#: SQL can express neither the fitted classifier nor the fingerprints and tokens; tests/llm holds a brute-force run.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each stage's rows are written before the next one reads them."""
+    """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, f"stage{i}")

@@ -167,46 +167,55 @@ def _passes(benchmark: DataFrame) -> int:
     return max(1, -(-size // PASS_BYTES))
 
 
+#: Columns of the passes, beside those that are kept.
+_TEXT, _N, _HITS, _ITEMS = "__dc_text", "__dc_words", "__dc_hits", "__dc_items"
+
+
 def _one_pass(docs: DataFrame, items: list[tuple[str, bytes]], keep: list[str], window: int) -> DataFrame:
-    """Add the occurrences of these items' windows to the columns hits and items."""
+    """Add the occurrences of these items' windows to the hits and items of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     hit_type = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Searcher(shared.value, window)
         for batch in batches:
-            for part in text_slices(batch, "_text"):
-                counts, spans, found = search.scan(texts(part, "_text"))
+            for part in text_slices(batch, _TEXT):
+                counts, spans, found = search.scan(texts(part, _TEXT))
                 hits = [[{"first": a, "end": e} for a, e in
                          merged(s + [(x["first"], x["end"] - x["first"]) for x in old])]
-                        for s, old in zip(spans, part.column("hits").to_pylist())]
-                ids = [sorted(x.union(old)) for x, old in zip(found, part.column("items").to_pylist())]
+                        for s, old in zip(spans, part.column(_HITS).to_pylist())]
+                ids = [sorted(x.union(old)) for x, old in zip(found, part.column(_ITEMS).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in [*keep, "_text"]]
-                    + [pa.array(counts, pa.int64()), pa.array(hits, hit_type), pa.array(ids, pa.list_(pa.string()))],
-                    names=[*keep, "_text", "n_words", "hits", "items"])
+                    [*(part.column(c) for c in [*keep, _TEXT]), pa.array(counts, pa.int64()),
+                     pa.array(hits, hit_type), pa.array(ids, pa.list_(pa.string()))],
+                    names=[*keep, _TEXT, _N, _HITS, _ITEMS])
 
-    return map_arrow(docs, run, spark_schema(docs, [*keep, "_text", "n_words", "hits", "items"]))
+    return map_arrow(docs, run, spark_schema(docs, [*keep, _TEXT, _N, _HITS, _ITEMS]))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None,
-                  window: int = WINDOW) -> DataFrame:
-    """docs → keep columns (doc_id), n_words, hits (disjoint word spans [first, end) inside occurrences),
-    items (sorted ids, as strings, of the items with an occurring window)."""
-    keep = keep or ["doc_id"]
+def _marked(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int) -> DataFrame:
+    """The keep columns, the text and what was found in it, under internal names."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
                              F.col("text").cast("binary").alias("text")).filter("text IS NOT NULL")
     n = _passes(benchmark)
-    out = docs.select(*keep, F.col("text").alias("_text"), F.lit(0).cast("long").alias("n_words"),
-                      F.expr("cast(array() as array<struct<first:int,end:int>>)").alias("hits"),
-                      F.expr("cast(array() as array<string>)").alias("items"))
+    out = docs.select(*keep, F.col("text").alias(_TEXT), F.lit(0).cast("long").alias(_N),
+                      F.expr("cast(array() as array<struct<first:int,end:int>>)").alias(_HITS),
+                      F.expr("cast(array() as array<string>)").alias(_ITEMS))
     for k in range(n):   # each pass holds PASS_BYTES of the benchmark; the rows flow through all of them in one task
         own = items if n == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
         out = _one_pass(out, [(r.item, bytes(r.text)) for r in own.collect()], keep, window)
-    return out.drop("_text")
+    return out
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs(doc_id, text) → doc_id, n_words, hits (disjoint word spans [first, end) inside occurrences), items
+    (sorted ids, as strings, of the items with an occurring window)."""
+    out = _marked(docs, benchmark, ["doc_id"], window)
+    return out.select("doc_id", F.col(_N).alias("n_words"), F.col(_HITS).alias("hits"), F.col(_ITEMS).alias("items"))
 
 
 def removed(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents (all columns) in which no benchmark window occurs."""
-    mark = contamination(docs.select("*"), benchmark, docs.columns, window)
-    return mark.filter(F.size("items") == 0).select(*docs.columns)
+    out = _marked(docs, benchmark, [c for c in docs.columns if c != "text"], window)
+    return (out.filter(F.size(_ITEMS) == 0)
+            .select(*(F.col(_TEXT).alias("text") if c == "text" else F.col(c) for c in docs.columns)))

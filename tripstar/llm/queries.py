@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstar.llm import bpe, decontaminate, embeddings, lines, quality, secrets, sharding, simhash, substring
+from tripstar.llm import bpe, decontaminate, embeddings, lines, pii, quality, secrets, sharding, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    out = pii.personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"].isin(*pii.BASE_KINDS))
+    counts = [F.size(F.expr(f"filter(spans, x -> x.kind = '{k}')")).cast("long").alias(f"n_{k}")
+              for k in pii.BASE_KINDS]
+    return out.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"),
+                      pii.joined(F.col("spans")).alias("spans"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -83,6 +93,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scans, op2_substring_dedup, op3_benchmark_decontamination, op4_line_dedup, op5_sharding, op6_embedding_near_dedup, op7_byte_bpe, op9_simhash,
+    op1_secret_scans, op2_substring_dedup, op3_benchmark_decontamination, op4_line_dedup, op5_sharding, op6_embedding_near_dedup, op7_byte_bpe, op8_pii, op9_simhash,
     op10_quality_classifier)}
 SQL: dict[str, str] = {"op1_secret_scans": secrets.oracle_sql(), "op4_line_dedup": lines.oracle_sql()}

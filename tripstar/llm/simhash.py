@@ -201,8 +201,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Documents without a doc_id can't be told apart from their copies by id and stay."""
     groups = written(near_duplicates(docs.select("doc_id", "text")), "groups")
-    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"].cast("long") == keep["_keep"], "left_semi")
-    once = kept.withColumn("_n", F.row_number().over(
-        Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.col("text")))).filter("_n = 1")
-    return once.drop("_n").unionAll(docs.filter("doc_id IS NULL"))
+    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    kept = docs.join(keep, docs["doc_id"].cast("long") == keep["__keep"], "left_semi")
+    once = kept.withColumn("__n", F.row_number().over(
+        Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.col("text")))).filter("__n = 1")
+    return once.drop("__n").unionAll(docs.filter("doc_id IS NULL"))
