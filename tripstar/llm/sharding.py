@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripstar.llm.base import written
@@ -39,8 +39,12 @@ def keyed(docs: DataFrame) -> DataFrame:
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("hi"),
-        # null sorts first: it takes the lowest key
-        F.coalesce(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-2 ** 63)), F.lit(0)).alias("lo"))
+        _low_half().alias("lo"))
+
+
+def _low_half() -> Column:
+    """doc_id shifted to unsigned order; null sorts first, so it takes the lowest key."""
+    return F.coalesce(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-2 ** 63)), F.lit(0))
 
 
 def _prefix(bits: int) -> Column:
@@ -108,53 +112,75 @@ def splitters(keys: DataFrame, targets: list[float], tolerance: float) -> list[t
     return [found[i] for i in range(len(targets))]
 
 
-def histogram_shards(docs: DataFrame, shards: int = 24, tolerance: float = TOLERANCE,
-                     piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """docs(doc_id, text, ...) → doc_id, size, text_crc32, shard, slot.
+def _flip(c: Column) -> Column:
+    """Unsigned order as signed order."""
+    return c.bitwiseXOR(F.lit(-2 ** 63))
 
-    Slots are gapless from 0 in each shard, in key order. Every shard is cut into pieces of about ``piece_rows``
-    rows by splitters of the same kind, whose exact row counts give the first slot of each piece, so no task ever
-    sorts a whole shard."""
-    spark = docs.sparkSession
-    # The text is read once; the probes run over about 40 bytes a row.
-    keys = written(keyed(docs), "shard-keys")
+
+def plan(keys: DataFrame, shards: int, tolerance: float, piece_rows: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(first key, bytes before, rows before) of every piece, and the number of pieces in a shard."""
     total, n = keys.agg(F.sum("size"), F.count("*")).first()
     per = max(1, -(-(n or 0) // (shards * piece_rows)))
     ideal = (total or 0) / (shards * per)
     cuts = splitters(keys, [ideal * i for i in range(1, shards * per)], tolerance * ideal) if n else []
-    cuts = [(0, 0, 0)] + sorted(cuts)
-    # cells of the first 16 bits → number of the piece that begins there, and the splitters inside the cell
+    return [(0, 0, 0)] + sorted(cuts), per
+
+
+def placed(rows: DataFrame, cuts: list[tuple[int, int, int]], hi: str, lo: str, piece: str) -> DataFrame:
+    """The rows and the number of the piece that their key (columns hi, lo) lies in."""
+    # cells of the first 16 bits → number of the piece that a cell begins in, and the splitters inside the cell
     inside: dict[int, list[int]] = {}
     for k, (key, _, _) in enumerate(cuts):
         if k and key < 2 ** 128:
             inside.setdefault(key >> (128 - FIRST_BITS), []).append(k)
-    table, piece = [], 0
+    table, n = [], 0
     for cell in range(2 ** FIRST_BITS):
         own = inside.get(cell, [])
-        table.append((cell, piece, [_signed(cuts[k][0], 128) for k in own]))
-        piece += len(own)
+        table.append((cell, n, [_signed(cuts[k][0], 128) for k in own]))
+        n += len(own)
     # 65,536 cells and one entry a splitter: a bounded table
-    cells = F.broadcast(spark.createDataFrame(table, "cell long, first_piece int, cut array<struct<h:long,l:long>>"))
-    flip = lambda c: c.bitwiseXOR(F.lit(-2 ** 63))  # noqa: E731  unsigned order as signed order
-    at_or_after = lambda c: (
-        (flip(c["h"]) < flip(F.col("hi"))) | ((c["h"] == F.col("hi")) & (flip(c["l"]) <= flip(F.col("lo")))))
-    placed = (keys.join(cells, F.shiftrightunsigned("hi", 64 - FIRST_BITS) == F.col("cell"))
-              .withColumn("piece", F.col("first_piece") + F.size(F.filter("cut", at_or_after))))
-    starts = spark.createDataFrame([(i, c[2] - cuts[i - i % per][2]) for i, c in enumerate(cuts)],
-                                   "piece int, first_slot long")
-    from pyspark.sql import Window
-    w = Window.partitionBy("piece").orderBy(flip(F.col("hi")), flip(F.col("lo")), "size")
-    return (placed.withColumn("rank", F.row_number().over(w) - 1).join(F.broadcast(starts), "piece")
+    cells = F.broadcast(rows.sparkSession.createDataFrame(
+        table, "__cell long, __first int, __cuts array<struct<h:long,l:long>>"))
+
+    def at_or_after(c: Column) -> Column:
+        return (_flip(c["h"]) < _flip(F.col(hi))) | ((c["h"] == F.col(hi)) & (_flip(c["l"]) <= _flip(F.col(lo))))
+
+    return (rows.join(cells, F.shiftrightunsigned(hi, 64 - FIRST_BITS) == F.col("__cell"))
+            .withColumn(piece, F.col("__first") + F.size(F.filter("__cuts", at_or_after)))
+            .drop("__cell", "__first", "__cuts"))
+
+
+def histogram_shards(docs: DataFrame, shards: int = 24, tolerance: float = TOLERANCE,
+                     piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """docs(doc_id, text, ...) → doc_id, size, text_crc32, shard, slot.
+
+    Slots are gapless from 0 in each shard, in key order. Every shard is cut into pieces of about ``piece_rows``
+    rows by splitters of the same kind, whose exact row counts give the first slot of each piece, so no task ever
+    sorts a whole shard."""
+    # The text is read once; the probes run over about 40 bytes a row.
+    keys = written(keyed(docs), "shard-keys")
+    cuts, per = plan(keys, shards, tolerance, piece_rows)
+    starts = docs.sparkSession.createDataFrame([(i, c[2] - cuts[i - i % per][2]) for i, c in enumerate(cuts)],
+                                               "piece int, first_slot long")    # one row a piece
+    w = Window.partitionBy("piece").orderBy(_flip(F.col("hi")), _flip(F.col("lo")), "size")
+    return (placed(keys, cuts, "hi", "lo", "piece").withColumn("rank", F.row_number().over(w) - 1)
+            .join(F.broadcast(starts), "piece")
             .select("doc_id", "size", "text_crc32", F.expr(f"int(piece div {per})").alias("shard"),
                     (F.col("rank") + F.col("first_slot")).cast("long").alias("slot")))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 24) -> DataFrame:
-    """Write the documents as ``path/shard=N/`` files, in key order inside a shard, and return the assignment.
-
-    The texts move once: every shard is written by as many tasks as its pieces, from a range of (shard, slot)."""
-    where = written(histogram_shards(docs, shards), "shard-map")
-    (docs.join(where.select("doc_id", "shard", "slot"), "doc_id")
-     .repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-     .write.partitionBy("shard").parquet(path))
-    return where
+def write_shards(docs: DataFrame, path: str, shards: int = 24, tolerance: float = TOLERANCE,
+                 piece_rows: int = PIECE_ROWS) -> str:
+    """Write the documents (all columns) as ``path/shard=N/`` files in key order, and return the name of the shard
+    column (``shard``, with underscores behind it while the documents have a column of that name).
+
+    The texts move once, each to the piece of the order that its key lies in; a piece is written by one task."""
+    cuts, per = plan(written(keyed(docs), "shard-keys"), shards, tolerance, piece_rows)
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    full = docs.withColumns({"__hi": F.xxhash64(F.coalesce("text", F.lit(""))), "__lo": _low_half()})
+    (placed(full, cuts, "__hi", "__lo", "__piece").withColumn(name, F.expr(f"int(__piece div {per})"))
+     .repartition("__piece").sortWithinPartitions(name, _flip(F.col("__hi")), _flip(F.col("__lo")))
+     .drop("__hi", "__lo", "__piece").write.partitionBy(name).parquet(path))
+    return name
