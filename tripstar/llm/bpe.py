@@ -29,7 +29,7 @@ from tripstar.llm.base import map_arrow, spark_schema, text_slices
 
 #: Words remembered by a worker; bytes from which a word is contracted by a heap; bytes of text in one slice; ids
 #: decoded by one query.
-CACHE_WORDS, LONG_WORD, SLICE, DECODE_IDS = 200_000, 256, 2 << 20, 400_000
+CACHE_WORDS, LONG_WORD, SLICE, DECODE_IDS = 800_000, 256, 2 << 20, 400_000
 
 CONTRACT = """
 WITH RECURSIVE state(word, toks) AS (
