@@ -71,7 +71,7 @@ def test_temperature_bins_match_pandas_cut(spark, values):
     weather = [(i, day, v, 0.0, 0.0, 0.0, 0.0, 0.0) for i, v in enumerate(values)]
     rides = [ride(i, zone=i) for i in range(len(values))]
     wh = warehouse(spark, rides=rides, zones=zones, weather=weather)
-    got = qs.q06_temperature_bins(wh, with_labels=True).collect()
+    got = qs.q06_temperature_bins(wh).collect()
     want = pd.cut(pd.Series(values), bins=10).value_counts(sort=False)
     assert [r.rides for r in got] == list(want.values)
     assert [r.temp_range for r in got] == [str(i) for i in want.index]

@@ -84,7 +84,7 @@ RAW = ("source_key long, customer_id long, driver_id long, vehicle_id long, vend
 def test_dedupe_keeps_one_copy_of_a_hot_key(spark):
     hot = [_raw_ride(7, pickup=T0 + dt.timedelta(minutes=i % 50), fare=float(i)) for i in range(3000)]
     rows = hot + [_raw_ride(8), _raw_ride(None), _raw_ride(9, fare=-1.0)]
-    out = etl.clean_validate_rides(spark.createDataFrame(rows, RAW), salt_buckets=16)
+    out = etl.clean_validate_rides(spark.createDataFrame(rows, RAW))
     kept = out.filter(F.col("reject_reason").isNull()).collect()
     assert sorted(r.source_key for r in kept) == [7, 8]
     winner = [r for r in kept if r.source_key == 7][0]
@@ -94,6 +94,75 @@ def test_dedupe_keeps_one_copy_of_a_hot_key(spark):
     assert reasons == {9: "negative_fare", None: "missing_key"}
 
 
+def reasons(out):
+    return sorted(((r.source_key, r.reject_reason) for r in out.select("source_key", "reject_reason").collect()), key=str)
+
+
+def test_invalid_first_copy_does_not_lose_the_ride(spark):
+    rows = [_raw_ride(7, pickup=T0 - dt.timedelta(hours=1), fare=-5.0), _raw_ride(7), _raw_ride(7, fare=11.0)]
+    out = etl.clean_validate_rides(spark.createDataFrame(rows, RAW))
+    assert reasons(out) == [(7, "duplicate"), (7, "negative_fare"), (7, None)]
+    fact = etl.build_fact_rides(out, [(1, 40.5, -74.0)]).collect()
+    assert [(r.ride_id, float(r.fare_amount)) for r in fact] == [(7, 10.0)]
+
+
+def test_odd_amounts_are_quarantined(spark):
+    rows = [_raw_ride(1, fare=1e12), _raw_ride(2, fare=float("nan")), _raw_ride(3)]
+    out = etl.clean_validate_rides(spark.createDataFrame(rows, RAW))
+    assert reasons(out) == [(1, "out_of_range"), (2, "not_a_number"), (3, None)]
+    assert sorted(r.ride_id for r in etl.build_fact_rides(out, [(1, 40.5, -74.0)]).collect()) == [3]
+
+
+def test_identical_copies_and_null_keys(spark):
+    rows = [_raw_ride(7)] * 500 + [_raw_ride(None)] * 300
+    out = etl.clean_validate_rides(spark.createDataFrame(rows, RAW).repartition(6))
+    counts = {(r.source_key, r.reject_reason): r["count"] for r in out.groupBy("source_key", "reject_reason").count().collect()}
+    assert counts == {(7, None): 1, (7, "duplicate"): 499, (None, "missing_key"): 300}
+
+
+def test_dedupe_of_an_empty_batch(spark):
+    assert etl.clean_validate_rides(spark.createDataFrame([], RAW)).count() == 0
+
+
+def test_two_thousand_zones(spark):
+    centres = [(i, 40 + (i % 50) * 0.01, -74 + (i // 50) * 0.01) for i in range(2000)]
+    zones = spark.createDataFrame(centres, "zone_id int, center_lat double, center_lon double")
+    df = spark.createDataFrame([(40.1234, -73.8765), (41.0, -70.0)], "lat double, lon double")
+    got = [r[0] for r in df.select(etl.nearest_zone("lat", "lon", etl.zone_centres(zones))).collect()]
+    near = lambda a, o: min(centres, key=lambda c: ((a - c[1]) ** 2 + (o - c[2]) ** 2, c[0]))[0]
+    assert got == [near(40.1234, -73.8765), near(41.0, -70.0)]
+
+
+UPLOAD = ["customer_id", "driver_id", "vehicle_id", "pickup_datetime", "trip_distance", "pickup_longitude",
+          "pickup_latitude", "dropoff_longitude", "dropoff_latitude", "fare_amount", "total_amount",
+          "payment_method_id"]
+GOOD = ["1", "2", "3", "2024-03-01 09:30:00", "2.5", "-74.0", "40.7", "-74.1", "40.8", "12.5", "15", "1"]
+
+
+def test_upload_with_extra_columns_and_written_out_integers(spark):
+    extra = ["note", *UPLOAD, "internal"]
+    rows = [["hello", *GOOD, "x"], ["", *["7.0" if i == 0 else c for i, c in enumerate(GOOD)], ""],
+            ["", *["7.5" if i == 0 else c for i, c in enumerate(GOOD)], ""],
+            ["", *["NaN" if i == 9 else c for i, c in enumerate(GOOD)], ""]]
+    path = _upload(tempfile.mkdtemp(prefix="csv-"), extra, rows)
+    v = ingest.validate_rides_batch(files.read_rides_csv(spark, path, typed=False)).collect()
+    assert [r.reject_reason for r in v] == [None, None, "bad_customer_id;missing_customer_id",
+                                            "bad_fare_amount;missing_fare_amount"]
+    assert [r.customer_id for r in v][:2] == [1, 7]
+    typed = files.read_rides_csv(spark, path, typed=True)
+    assert "note" not in typed.columns
+    assert [r[files.CORRUPT_COL] is None for r in typed.collect()] == [True, True, False, False]
+
+
+def test_two_uploads_do_not_overwrite_each_other(spark):
+    from conftest import SMOKE
+    from tripstar.catalog import all_queries
+
+    first = all_queries()["src_csv_rides"](spark, SMOKE)
+    second = all_queries()["ingest_rides_batch"](spark, SMOKE)
+    assert first.count() == second.count() > 0
+
+
 def test_unit_conversion(spark):
     df = etl.unit_convert(spark.createDataFrame([_raw_ride(1)], RAW)).first()
     assert df.distance_km == pytest.approx(2.0 * 1.609344) and df.duration_minutes == 12
@@ -137,13 +206,14 @@ def test_weather_rollup_is_daily(spark):
     assert (r.temperature_2m, r.precipitation, r.rain, r.avg_wind_speed) == (11.5, 2.0, 1.0, 4.0)
 
 
-def test_partitioned_load_replaces_only_present_days(spark):
+def test_late_rides_join_their_day_and_reruns_replace_themselves(spark):
     path = os.path.join(tempfile.mkdtemp(prefix="load-"), "fact")
     mk = lambda rows: spark.createDataFrame(rows, "ride_id long, ride_date timestamp_ntz")
-    etl.load_partitioned(mk([(1, T0), (2, T0 + dt.timedelta(days=1))]), path)
-    etl.load_partitioned(mk([(3, T0)]), path)
+    etl.load_partitioned(mk([(1, T0), (2, T0 + dt.timedelta(days=1))]), path, load_id="a")
+    etl.load_partitioned(mk([(3, T0)]), path, load_id="late")
+    etl.load_partitioned(mk([(3, T0)]), path, load_id="late")
     got = sorted(r.ride_id for r in etl.read_partitioned(spark, path).collect())
-    assert got == [2, 3]
+    assert got == [1, 2, 3]
 
 
 def test_append_counts_and_reruns_are_idempotent(spark):

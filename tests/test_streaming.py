@@ -17,9 +17,22 @@ def test_stream_validates_and_is_idempotent(spark):
     df.repartition(4).write.parquet(src)
     schema = df.schema
     run_validated_ingest(spark, src, schema, ingest.validate_customers, ok, bad, ck, max_files_per_trigger=1)
-    first = read_ingested(spark, ok, bad)
+    full = ingest.validate_customers(df).schema
+    first = read_ingested(spark, ok, bad, full)
     assert first.count() == 40 and first.filter("reject_reason is not null").count() == 10
     assert first.select("batch_id").distinct().count() == 4
     # A second run on the same checkpoint finds nothing new and writes nothing twice.
     run_validated_ingest(spark, src, schema, ingest.validate_customers, ok, bad, ck, max_files_per_trigger=1)
-    assert read_ingested(spark, ok, bad).count() == 40
+    assert read_ingested(spark, ok, bad, full).count() == 40
+
+
+def test_a_side_without_rows_reads_as_empty(spark):
+    for last, n_bad in (("B", 0), ("", 6)):
+        base = tempfile.mkdtemp(prefix="stream-")
+        src, ok, bad, ck = (os.path.join(base, p) for p in ("in", "ok", "bad", "ck"))
+        df = spark.createDataFrame([("A", last, f"a{i}@x", "1") for i in range(6)], SCHEMA)
+        df.write.parquet(src)
+        run_validated_ingest(spark, src, df.schema, ingest.validate_customers, ok, bad, ck,
+                             max_bytes_per_trigger=1 << 30)
+        out = read_ingested(spark, ok, bad, ingest.validate_customers(df).schema)
+        assert out.count() == 6 and out.filter("reject_reason is not null").count() == n_bad

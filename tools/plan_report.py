@@ -74,7 +74,6 @@ def main(argv: list[str]) -> int:
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.1"
     spark = get_session("plan-report", master="local[8]", shuffle_partitions=16)
     from tripstar.catalog import all_operators
-    from tripstar.plans.broadcast import BroadcastPolicy
     from tripstar.sources.warehouse import Warehouse
 
     ops = all_operators()
@@ -82,8 +81,8 @@ def main(argv: list[str]) -> int:
     print(f"# Physical plans at `{sf_dir}`\n")
     print("Generated by `tools/plan_report.py` from `explain(\"formatted\")` (the plan AQE starts from;"
           " AQE may still coalesce partitions, split skewed ones or turn a sort-merge join into a"
-          " broadcast join at run time). Shuffles count hash/range exchanges, not broadcasts. Dimension"
-          " builds are counted in every plan (in a session they are size-checked once and cached). The test-data"
+          " broadcast join at run time). Shuffles count hash/range exchanges, not broadcasts. Joins"
+          " carry no hints: the planner and AQE decide by bytes. The test-data"
           " binding makes every ride query scan lineitem ⋈ orders; a loaded warehouse scans one table.\n")
     print("| query | shuffles | broadcasts | BHJ | SMJ | aggregates | windows | top-k | parquet scans |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- |")
@@ -91,9 +90,7 @@ def main(argv: list[str]) -> int:
     for name in sorted(ops):
         if name.startswith(SKIP_PREFIX):
             continue
-        # A fresh, non-caching broadcast policy per query: every plan shows the full work
-        # of a first run, dimension builds included.
-        wh = Warehouse.from_testdata(spark, sf_dir, policy=BroadcastPolicy(cache_small=False))
+        wh = Warehouse.from_testdata(spark, sf_dir)
         s = summarise(formatted(ops[name](wh)))
         if s["python"] or s["cartesian"]:
             bad.append(name)

@@ -31,8 +31,6 @@ NIGHT_FIRST_HOUR = 22
 DEMAND_LOW_BELOW = 5
 DEMAND_MEDIUM_BELOW = 15
 SPEED_EPSILON = 1e-6
-# ---------------------------------------------------------------------------
-
 FARE_FEATURES = [
     "distance_km", "duration_minutes", "avg_speed_kmh",
     "pickup_zone_id", "dropoff_zone_id", "zone_distance",
@@ -47,6 +45,7 @@ DEMAND_FEATURES = [
     "cloud_cover", "avg_wind_speed",
     "hour", "day_of_week", "month", "is_weekend", "is_rush_hour", "is_night",
 ]
+# ---------------------------------------------------------------------------
 # Trip duration must not see its own label or the speed derived from it.
 DURATION_FEATURES = [f for f in FARE_FEATURES if f not in ("duration_minutes", "avg_speed_kmh")]
 
@@ -163,3 +162,19 @@ def trip_factors(distance_km="distance_km", duration_minutes="duration_minutes",
             F.lit(", "),
             F.when(col_(rush) == 1, F.lit("Rush Hour")).otherwise(F.lit("Normal"))),
     }
+
+
+def demand_factors(zone="zone_id", lat="center_lat", lon="center_lon", hour="hour", temperature="temperature_2m",
+                   precipitation="precipitation", weekend="is_weekend", rush="is_rush_hour",
+                   night="is_night") -> dict[str, Column]:
+    """Display strings explaining one demand prediction."""
+    return {
+        "zone_text": F.concat(F.lit("Zone "), col_(zone).cast("string")),
+        "location_text": F.format_string("(%.4f, %.4f)", col_(lat).cast("double"), col_(lon).cast("double")),
+        "time_text": F.concat(col_(hour).cast("string"), F.lit(":00 "),
+                              F.when(col_(rush) == 1, F.lit("(Rush Hour)")).otherwise(F.lit("")),
+                              F.when(col_(night) == 1, F.lit("(Night)")).otherwise(F.lit(""))),
+        "weather_text": F.concat(col_(temperature).cast("string"), F.lit("°C, "), col_(precipitation).cast("string"),
+                                 F.lit("mm precipitation")),
+        "day_type_text": F.when(col_(weekend) == 1, F.lit("Weekend")).otherwise(F.lit("Weekday")),
+    }

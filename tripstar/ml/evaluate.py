@@ -35,8 +35,8 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
                        by: list[str] | None = None) -> DataFrame:
     """RMSE, MAE, R² and MAPE in one aggregate (per group of ``by``).
 
-    R² = 1 − Σe² / Σ(y − ȳ)², with Σ(y − ȳ)² = Σy² − (Σy)²/n so a single
-    pass suffices. MAPE is in percent over rows with y ≠ 0.
+    R² = 1 − Σe² / Σ(y − ȳ)², with Σ(y − ȳ)² = n · var_pop(y), which Spark merges
+    without cancellation. MAPE is in percent over rows with y ≠ 0.
     """
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
     e = y - p
@@ -44,7 +44,7 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
         F.count(F.lit(1)).alias("n"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
-        (F.lit(1.0) - F.sum(e * e) / (F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(F.lit(1)))).alias("r2"),
+        (F.lit(1.0) - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count(y))).alias("r2"),
         (F.avg(F.when(y != 0, F.abs(e / y))) * 100).alias("mape"),
     ]
     return pred.groupBy(*(by or [])).agg(*aggs)

@@ -124,6 +124,19 @@ RIDE_BATCH_TYPES = {
 }
 
 
+def typed_cell(text: Column, typ: str) -> Column:
+    """A text cell as ``typ``, null if it can't be read so. Whole numbers may be written with a fraction of zero
+    (``7.0``), as spreadsheets write an integer column that has gaps; NaN is no number."""
+    if typ == "int":
+        number = text.try_cast("double")
+        whole = (number == F.floor(number)) & number.between(-(2 ** 31), 2 ** 31 - 1)
+        return F.coalesce(text.try_cast("int"), F.when(whole, number.try_cast("int")))
+    if typ == "double":
+        number = text.try_cast("double")
+        return F.when(~F.isnan(number), number)
+    return text.try_cast(typ) if typ != "string" else text
+
+
 def validate_rides_batch(df: DataFrame) -> DataFrame:
     """Type every cell of an uploaded ride batch; unparseable cells quarantine the row.
 
@@ -135,7 +148,7 @@ def validate_rides_batch(df: DataFrame) -> DataFrame:
     for c, typ in RIDE_BATCH_TYPES.items():
         raw = F.col(c) if c in df.columns else F.lit(None)
         text = F.trim(raw.cast("string"))
-        typed = text.try_cast(typ) if typ != "string" else text
+        typed = typed_cell(text, typ)
         cols[c] = typed
         if typ != "string":
             bad_cells[f"bad_{c}"] = text.isNotNull() & (text != "") & typed.isNull()

@@ -8,8 +8,7 @@ read the result back.
 
 from __future__ import annotations
 
-import hashlib
-import os
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +20,8 @@ from tripstar.sources.warehouse import Warehouse
 
 
 def _scratch(wh: Warehouse, name: str) -> str:
-    tag = hashlib.sha1(os.path.abspath(wh.raw.sf_dir).encode()).hexdigest()[:10]
-    return scratch_path(wh.spark, f"landing-{tag}/{name}")
+    """A fresh folder for every call: no query overwrites the files of another that is still to be read."""
+    return scratch_path(wh.spark, f"landing-{uuid.uuid4().hex[:12]}/{name}")
 
 
 # ---------------------------------------------------------------- ingest
@@ -65,13 +64,11 @@ def ingest_rides_batch(wh: Warehouse) -> DataFrame:
 
 
 def sink_surrogate_ids(wh: Warehouse) -> DataFrame:
-    """New customer ids continue after the largest existing one; summary of the ids given."""
+    """The valid new customers with ids that continue after the largest existing one, in source order."""
     ok, _ = ingest.split(ingest_customers(wh))
     base = ids.next_base(wh.dim_customers, "customer_id")
-    with_ids = ids.with_surrogate_ids(ok, "customer_id", base)
-    return with_ids.agg(F.count(F.lit(1)).alias("n_ids"), F.min("customer_id").alias("min_id"),
-                        F.max("customer_id").alias("max_id"),
-                        F.count_distinct("customer_id").alias("distinct_ids"))
+    ordered = ok.repartitionByRange("source_key").sortWithinPartitions("source_key")
+    return ids.with_surrogate_ids(ordered, "customer_id", base)
 
 
 # ---------------------------------------------------------------- ETL
@@ -145,23 +142,23 @@ def src_weather_files(wh: Warehouse) -> DataFrame:
 
 
 # ---------------------------------------------------------------- streaming ingest
-def ingest_stream_validate(wh: Warehouse, files_per_batch: int = 1, n_files: int = 4) -> DataFrame:
-    """Land the ticket batch as several files, drain them through the validated stream, read back.
+def ingest_stream_validate(wh: Warehouse, bytes_per_batch: int = 64 << 30) -> DataFrame:
+    """Land the ticket batch, drain it through the validated stream, read back.
 
     Each run lands into a fresh folder with its own checkpoint, so the stream
-    sees exactly the files of this run.
+    sees exactly the files of this run. The files are those Spark's tasks write,
+    so their number follows the input; a micro-batch takes all that have landed,
+    up to ``bytes_per_batch``.
     """
-    import uuid
-
     from tripstar.streaming.ingest import read_ingested, run_validated_ingest
 
-    run = _scratch(wh, f"ticket_stream/{uuid.uuid4().hex[:12]}")
+    run = _scratch(wh, "ticket_stream")
     incoming, valid, bad, ckpt = (f"{run}/incoming", f"{run}/valid", f"{run}/quarantine", f"{run}/_checkpoint")
     rows = landing.landing_tickets(wh.raw)
-    rows.repartition(n_files, F.col("source_key") % n_files).write.mode("overwrite").parquet(incoming)
+    rows.write.mode("overwrite").parquet(incoming)
     run_validated_ingest(wh.spark, incoming, rows.schema, ingest.validate_tickets, valid, bad, ckpt,
-                         max_files_per_trigger=files_per_batch)
-    return read_ingested(wh.spark, valid, bad).drop("batch_id")
+                         max_bytes_per_trigger=bytes_per_batch)
+    return read_ingested(wh.spark, valid, bad, ingest.validate_tickets(rows).schema).drop("batch_id")
 
 
 def flt_required(wh: Warehouse) -> DataFrame:

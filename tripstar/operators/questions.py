@@ -16,8 +16,6 @@ shuffle carries zone × day rows instead of rides.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,9 +54,8 @@ def calendar_days(spark) -> DataFrame:
 
 def join_calendar_reindex(counts: DataFrame, spark, value: str) -> DataFrame:
     """All seven weekdays, Monday first; a weekday without rows gets null."""
-    # At most seven count rows: they form the build side of a right outer join.
     days = calendar_days(spark)
-    return (F.broadcast(counts).join(days, "day_order", "right")
+    return (counts.join(days, "day_order", "right")
             .select("day_order", "day_of_week", value))
 
 
@@ -147,48 +144,66 @@ def q06_weather_demand(wh: Warehouse) -> DataFrame:
             .agg(F.sum("n").alias("rides")))
 
 
-def temperature_bins(lo: float, hi: float, nbins: int = 10) -> tuple[list[float], list[str]]:
-    """Edges and labels of ``nbins`` equal-width, right-closed bins over [lo, hi].
+def _rounded_edge(x, places):
+    """``x`` to so many decimal places, halves to even; below 1 the places count from the first digit that is not 0."""
+    digits = F.when((x != 0) & (F.abs(x) < 1), -F.floor(F.log10(F.abs(x))) - 1 + places).otherwise(places)
+    scale = F.pow(F.lit(10.0), digits.cast("double"))
+    return F.rint(x * scale) / scale
 
-    Both come from pandas itself on the two end points, so they are exactly
-    what ``pd.cut(x, nbins)`` produces for data with that minimum and maximum.
-    """
-    cats, edges = pd.cut(pd.Series([lo, hi], dtype="float64"), bins=nbins, retbins=True)
-    labels = [str(iv) for iv in cats.cat.categories]
-    return [float(e) for e in np.asarray(edges)], labels
+
+def _bin_label(lower, upper, places):
+    """``(lower, upper]``, both ends rounded."""
+    def shown(c):
+        text = F.regexp_replace(F.format_string("%.12f", _rounded_edge(c, places)), "0+$", "")
+        return F.when(text.endswith("."), F.concat(text, F.lit("0"))).otherwise(text)
+    return F.concat(F.lit("("), shown(lower), F.lit(", "), shown(upper), F.lit("]"))
 
 
-def q06_temperature_bins(wh: Warehouse, nbins: int = 10, with_labels: bool = False) -> DataFrame:
-    """Rides per equal-width temperature bin (rides with a temperature only).
+def q06_temperature_bins(wh: Warehouse, nbins: int = 10) -> DataFrame:
+    """Rides per equal-width, right-closed temperature bin (rides with a temperature only), with its label.
 
-    The min and max are two scalars from one aggregate; the bin edges are then
-    literals, so assigning bins is a plain projection. Empty bins are kept by a
-    left join from the (fixed-size) list of bin numbers.
+    The least and greatest temperature are scalar subqueries over one row per distinct temperature, so no job runs
+    while the query is built and nothing is cached. The first edge lies a thousandth of the range below the least
+    value; when all values are equal the range is widened by a thousandth of the value on both sides. Empty bins
+    are kept by a left join from the list of bin numbers.
     """
-    # One row per distinct temperature: read twice (min/max, then bins), so cached.
     temps = (zone_day_with_weather(wh).filter(F.col("temperature_2m").isNotNull())
-             .groupBy("temperature_2m").agg(F.sum("n").alias("n"))).cache()
-    lo, hi = temps.agg(F.min("temperature_2m"), F.max("temperature_2m")).first()
-    spark = wh.spark
-    schema = "temp_bin int, bin_lower double, bin_upper double"
-    if lo is None:
-        return spark.createDataFrame([], schema + ", rides bigint")
-    edges, labels = temperature_bins(float(lo), float(hi), nbins)
-    x = F.col("temperature_2m")
-    # bin = 1 + number of inner edges strictly below x (right-closed bins)
-    b = F.lit(1)
-    for e in edges[1:-1]:
-        b = b + F.when(x > F.lit(e), 1).otherwise(0)
-    counts = temps.groupBy(b.cast("int").alias("temp_bin")).agg(F.sum("n").alias("rides"))
-    rows = [(i + 1, edges[i], edges[i + 1]) for i in range(nbins)]
-    bins = spark.createDataFrame(rows, schema)
-    out = (F.broadcast(bins).join(counts, "temp_bin", "left")
-           .select("temp_bin", "bin_lower", "bin_upper",
-                   F.coalesce(F.col("rides"), F.lit(0).cast("long")).alias("rides")))
-    if with_labels:
-        lab = spark.createDataFrame([(i + 1, s) for i, s in enumerate(labels)], "temp_bin int, temp_range string")
-        out = out.join(F.broadcast(lab), "temp_bin")
-    return out.orderBy("temp_bin")
+             .groupBy("temperature_2m").agg(F.sum("n").alias("n")))
+    lo, hi = temps.agg(F.min("temperature_2m")).scalar(), temps.agg(F.max("temperature_2m")).scalar()
+    wide = lambda c: F.when(c != 0, F.abs(c) * 0.001).otherwise(F.lit(0.001))
+    bins = (wh.spark.range(nbins).select((F.col("id") + 1).cast("int").alias("temp_bin"), lo.alias("lo"), hi.alias("hi"))
+            .filter("lo IS NOT NULL")
+            .withColumn("a", F.when(F.col("lo") == F.col("hi"), F.col("lo") - wide(F.col("lo"))).otherwise(F.col("lo")))
+            .withColumn("b", F.when(F.col("lo") == F.col("hi"), F.col("hi") + wide(F.col("hi"))).otherwise(F.col("hi"))))
+
+    def edge(i):
+        inner = i.cast("double") * ((F.col("b") - F.col("a")) / nbins) + F.col("a")
+        return (F.when(i == nbins, F.col("b"))
+                .when((i == 0) & (F.col("lo") != F.col("hi")), F.col("a") - (F.col("hi") - F.col("lo")) * 0.001)
+                .otherwise(inner))
+
+    k = F.col("temp_bin")
+    edges = F.array(*[edge(F.lit(i)) for i in range(nbins + 1)])
+    # the fewest places, three at least, at which all edges differ
+    def apart(p: int):
+        return F.size(F.array_distinct(F.transform("edges", lambda e: _rounded_edge(e, F.lit(p))))) == nbins + 1
+
+    places = F.coalesce(*[F.when(apart(p), F.lit(p)) for p in range(3, 12)], F.lit(12))
+    bins = (bins.withColumn("edges", edges)
+            .select("temp_bin", edge(k - 1).alias("bin_lower"), edge(k).alias("bin_upper"), places.alias("places")))
+    # a temperature's bin: 1 + the inner edges strictly below it
+    same = temps.withColumn("lo", lo).withColumn("hi", hi)
+    same = same.withColumn("a", F.when(F.col("lo") == F.col("hi"), F.col("lo") - wide(F.col("lo"))).otherwise(F.col("lo")))
+    same = same.withColumn("b", F.when(F.col("lo") == F.col("hi"), F.col("hi") + wide(F.col("hi"))).otherwise(F.col("hi")))
+    number = F.lit(1)
+    for i in range(1, nbins):
+        number = number + (F.col("temperature_2m") > edge(F.lit(i))).cast("int")
+    counts = same.groupBy(number.cast("int").alias("temp_bin")).agg(F.sum("n").alias("rides"))
+    return (bins.join(counts, "temp_bin", "left")
+            .select("temp_bin", "bin_lower", "bin_upper",
+                    F.coalesce(F.col("rides"), F.lit(0).cast("long")).alias("rides"),
+                    _bin_label(F.col("bin_lower"), F.col("bin_upper"), F.col("places")).alias("temp_range"))
+            .orderBy("temp_bin"))
 
 
 def q07_weather_trip_metrics(wh: Warehouse) -> DataFrame:
@@ -311,8 +326,7 @@ WEATHER_CORR_COLS = ["temperature_2m", "precipitation", "rain", "snowfall", "clo
 def q_weather_duration_corr(wh: Warehouse) -> DataFrame:
     """Pearson correlation of trip duration with each weather variable (matched rides)."""
     cols = WEATHER_CORR_COLS
-    w = wh.policy.apply("dim_weather_full", wh.table("dim_weather").select(
-        F.col("zone_id").alias("w_zone"), F.col("date").alias("w_date"), *cols))
+    w = wh.table("dim_weather").select(F.col("zone_id").alias("w_zone"), F.col("date").alias("w_date"), *cols)
     r = star.rides(wh).select("pickup_zone_id", "ride_date", "duration_minutes")
     j = r.join(w, (r.pickup_zone_id == w.w_zone) & (F.to_date(r.ride_date) == w.w_date), "inner")
     return j.agg(*[F.round(F.corr(F.col("duration_minutes").cast("double"), F.col(c)), 6).alias(f"corr_{c}")
@@ -322,15 +336,13 @@ def q_weather_duration_corr(wh: Warehouse) -> DataFrame:
 def q_issue_by_location(wh: Warehouse) -> DataFrame:
     """Tickets per pickup zone of their ride and issue type.
 
-    Tickets are first counted per (ride, issue); rides are cut to the ride ids
-    that have tickets (a semi join) before the distinct (ride, zone) pairs are
-    taken, so the fact table is never shuffled whole.
+    Tickets are counted per (ride, issue) and joined once to the rides' zones, one
+    zone a ride: the ride side is aggregated by ride_id on the join's own key.
     """
     t = (wh.fact_support_tickets.filter(F.col("ride_id").isNotNull() & F.col("issue_type").isNotNull())
          .groupBy("ride_id", "issue_type").agg(F.count(F.lit(1)).alias("n")))
-    ids = t.select(F.col("ride_id").alias("rid")).distinct()
-    r = wh.fact_rides.select("ride_id", "pickup_zone_id").filter(F.col("pickup_zone_id").isNotNull())
-    loc = r.join(ids, r.ride_id == ids.rid, "left_semi").distinct()
+    loc = (wh.fact_rides.filter(F.col("pickup_zone_id").isNotNull())
+           .groupBy("ride_id").agg(F.min("pickup_zone_id").alias("pickup_zone_id")))
     return (t.join(loc, "ride_id").groupBy("pickup_zone_id", "issue_type")
             .agg(F.sum("n").alias("tickets")).orderBy("pickup_zone_id", "issue_type"))
 

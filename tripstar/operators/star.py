@@ -3,8 +3,9 @@
 Each view joins only what its consumers read. Unused left joins are not
 removed by the optimizer, so questions start from the smallest view that
 carries their columns (``rides``) rather than the widest (``rides_star``).
-Dimensions go through ``Warehouse.dim`` (broadcast when bounded or checked
-small, shuffle join otherwise).
+Dimensions are cut to the needed columns and joined without hints: the planner
+(and AQE, from measured sizes) broadcasts them while they are small by bytes
+and sort-merge joins them beyond that.
 """
 
 from __future__ import annotations
@@ -73,18 +74,16 @@ def weather_zone(wh: Warehouse) -> DataFrame:
 
 
 def weather_for_join(wh: Warehouse, cols=("temperature_2m", "precipitation", "rain", "snowfall")) -> DataFrame:
-    """Zone-day weather keyed for the ride join, through the broadcast policy.
+    """Zone-day weather keyed for the ride join.
 
     The weather grain (zone × calendar day) does not grow with the ride count,
-    so the size check normally passes and the join is a broadcast hash join
-    with no shuffle of the rides; past the bound it becomes a sort-merge join
-    on (zone, day), whose keys spread even a hot zone over its days.
+    so AQE normally makes this a broadcast hash join; past the threshold it is a
+    sort-merge join on (zone, day), whose keys spread even a hot zone over its days.
     """
     z = wh.dim("dim_zones").select(F.col("zone_id").alias("z_key"))
-    w = (wh.table("dim_weather").filter(F.col("date").isNotNull())
-         .join(z, F.col("zone_id") == z.z_key, "left_semi")
-         .select(F.col("zone_id").alias("w_zone"), F.col("date").alias("w_date"), *cols))
-    return wh.policy.apply("weather_zone:" + ",".join(cols), w)
+    return (wh.table("dim_weather").filter(F.col("date").isNotNull())
+            .join(z, F.col("zone_id") == z.z_key, "left_semi")
+            .select(F.col("zone_id").alias("w_zone"), F.col("date").alias("w_date"), *cols))
 
 
 def join_weather_day(df: DataFrame, wh: Warehouse, zone_col: str = "pickup_zone_id",
@@ -123,8 +122,8 @@ def fare_training(wh: Warehouse, weather_join: str = "day", week_start: str = "s
                                       F.col("make").alias("vehicle_make"),
                                       F.col("model").alias("vehicle_model"))
     wcols = ["temperature_2m", "precipitation", "rain", "snowfall", "cloud_cover", "avg_wind_speed"]
-    w = wh.policy.apply("dim_weather_full", wh.table("dim_weather").select(
-        F.col("zone_id").alias("w_zone"), F.col("date").alias("w_date"), *wcols))
+    w = wh.table("dim_weather").select(
+        F.col("zone_id").alias("w_zone"), F.col("date").alias("w_date"), *wcols)
     if weather_join == "day":
         wcond = (fr.pickup_zone_id == w.w_zone) & (F.to_date(fr.ride_date) == w.w_date)
     elif weather_join == "exact":
@@ -188,8 +187,8 @@ def demand_training(wh: Warehouse, week_start: str = "sunday") -> DataFrame:
               .agg(F.count(F.lit(1)).alias("n")))
     z = wh.dim("dim_zones").select(F.col("zone_id").alias("z_key"), "center_lat", "center_lon")
     wcols = ["temperature_2m", "precipitation", "rain", "snowfall", "cloud_cover", "avg_wind_speed"]
-    w = wh.policy.apply("dim_weather_full", wh.table("dim_weather").select(
-        F.col("zone_id").alias("w_zone"), F.col("date").alias("w_date"), *wcols))
+    w = wh.table("dim_weather").select(
+        F.col("zone_id").alias("w_zone"), F.col("date").alias("w_date"), *wcols)
     j = (counts.join(z, counts.zone_id == z.z_key, "left")
          .join(w, (counts.zone_id == w.w_zone) & (counts.date == w.w_date), "left"))
     keys = [

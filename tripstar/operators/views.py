@@ -80,7 +80,8 @@ def proj_vehicle_age(wh: Warehouse) -> DataFrame:
 def proj_avg_speed(wh: Warehouse) -> DataFrame:
     return wh.fact_rides.select(
         "ride_id", fx.avg_speed_kmh(F.coalesce(F.col("distance_km").cast("double"), F.lit(0.0)),
-                                    "duration_minutes").alias("avg_speed_kmh"))
+                                    F.coalesce(F.col("duration_minutes").cast("double"), F.lit(0.0)))
+        .alias("avg_speed_kmh"))
 
 
 def proj_zone_distance(wh: Warehouse) -> DataFrame:
@@ -181,6 +182,17 @@ def proj_trip_factors(wh: Warehouse) -> DataFrame:
     return df.select("ride_id", *[c.alias(n) for n, c in fx.trip_factors().items()])
 
 
+def proj_demand_factors(wh: Warehouse) -> DataFrame:
+    df = demand_feature_rows(wh)
+    return df.select("zone_id", "date", "hour", *[c.alias(n) for n, c in fx.demand_factors().items()])
+
+
+def proj_calendar_parts_monday(wh: Warehouse) -> DataFrame:
+    """Day of week with the Monday week start that is the default outside the parity queries."""
+    return star.rides(wh).select("ride_id", "ride_date",
+                                 cal.day_of_week("ride_date", "monday").cast("long").alias("day_of_week"))
+
+
 # ---------------------------------------------------------------- filters
 def flt_ride_date(wh: Warehouse) -> DataFrame:
     return star.rides(wh).select("ride_id", "ride_date")

@@ -24,7 +24,7 @@ for _name in [
     "proj_avg_speed", "proj_zone_distance", "proj_weather_impute", "proj_location_impute",
     "proj_weather_severity", "proj_time_flags", "proj_weather_condition", "proj_numeric_coerce",
     "proj_feature_vector_fare", "proj_feature_vector_demand", "proj_demand_level", "proj_demand_rounded",
-    "proj_minutes_to_hours", "proj_vehicle_label", "proj_trip_factors",
+    "proj_minutes_to_hours", "proj_vehicle_label", "proj_trip_factors", "proj_demand_factors", "proj_calendar_parts_monday",
     "flt_ride_date", "flt_weather_date", "flt_fare_valid", "flt_dropna_fare", "flt_min_rides",
     "flt_temp_present", "flt_slice",
     "join_zones_role", "join_vehicle_payment", "join_tenure", "join_weather_zone_inner", "join_agents",

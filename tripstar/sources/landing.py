@@ -79,7 +79,19 @@ def landing_tickets(t: Tables) -> DataFrame:
 
 
 def landing_rides(t: Tables) -> DataFrame:
-    """Rides as the OLTP system records them: 23 columns, distances in miles."""
+    """Rides as the OLTP system records them: 23 columns, distances in miles.
+
+    Copies: rides of every 131st order come a second time, an hour earlier and with a negative fare (an invalid
+    first copy); rides of every 137th order come a second time unchanged.
+    """
+    once = _landing_rides_once(t)
+    order = (F.col("source_key") / 10).cast("long")
+    earlier = F.timestamp_add("MINUTE", F.lit(-60), F.col("pickup_datetime"))
+    wrong = once.filter(order % 131 == 0).withColumns({"pickup_datetime": earlier, "fare_amount": F.lit(-1.0)})
+    return once.unionByName(wrong).unionByName(once.filter(order % 137 == 0))
+
+
+def _landing_rides_once(t: Tables) -> DataFrame:
     li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                            "l_extendedprice", "l_tax", "l_returnflag", "l_shipdate")
     o = t.orders.select("o_orderkey", "o_custkey")

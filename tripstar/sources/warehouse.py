@@ -19,7 +19,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstar.plans.broadcast import BroadcastPolicy, shared_policy
 from tripstar.sources.tables import Tables
 
 STAR_TABLES = (
@@ -27,12 +26,6 @@ STAR_TABLES = (
     "dim_payment_methods", "dim_agents", "dim_weather", "fact_support_tickets",
 )
 
-# Dimensions whose size the test-data binding fixes by construction (zones: the
-# 24 nation keys below 24; payment methods: a literal list; agents: supplier keys
-# below 9). Loaded or JDBC warehouses prove no such bound: every dimension
-# there goes through the size check (see tripstar.plans.broadcast).
-BOUNDED_DIMS = frozenset({"dim_zones", "dim_payment_methods", "dim_agents"})
-
 # Fixed values of the test-data binding (FIXTURES.md): payment methods, the
 # event-type → issue-type map, and the priority / status cycles.
 PAYMENT_METHODS = [(1, "Cash"), (2, "Card"), (3, "Wallet"), (4, "Corporate")]
@@ -57,13 +50,10 @@ def _add_minutes(ts, minutes):
 
 
 class Warehouse:
-    def __init__(self, spark: SparkSession, builders: dict[str, Callable[[], DataFrame]],
-                 policy: BroadcastPolicy | None = None, bounded: frozenset = frozenset()):
+    def __init__(self, spark: SparkSession, builders: dict[str, Callable[[], DataFrame]]):
         self.spark = spark
         self._builders = builders
         self._frames: dict[str, DataFrame] = {}
-        self.policy = policy or BroadcastPolicy()
-        self.bounded = bounded
         self.raw: Tables | None = None  # raw tables, when bound onto test data
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -77,14 +67,14 @@ class Warehouse:
         return self._frames[name]
 
     def dim(self, name: str) -> DataFrame:
-        """A dimension prepared for the build side of a join."""
-        return self.policy.apply(name, self.table(name), bounded=name in self.bounded)
+        """A dimension for a join. It carries no hint: after the columns are selected the planner and AQE decide by
+        bytes whether it is broadcast."""
+        return self.table(name)
 
     # ------------------------------------------------------------------ back ends
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str, **kw) -> "Warehouse":
-        builders = {n: (lambda n=n: spark.read.parquet(os.path.join(root, n))) for n in STAR_TABLES}
-        kw.setdefault("policy", shared_policy(("parquet", spark.sparkContext.applicationId, root)))
+        builders = {n: (lambda n=n: spark.read.parquet(os.path.join(root, n)).drop("load_id")) for n in STAR_TABLES}
         return cls(spark, builders, **kw)
 
     @classmethod
@@ -92,10 +82,11 @@ class Warehouse:
         return cls(spark, {n: (lambda df=df: df) for n, df in frames.items()}, **kw)
 
     @classmethod
-    def from_jdbc(cls, spark: SparkSession, url: str, properties: dict, **kw) -> "Warehouse":
+    def from_jdbc(cls, spark: SparkSession, url: str, properties: dict, read: dict | None = None, **kw) -> "Warehouse":
+        """``read``: further arguments of ``read_jdbc_table`` (number of ranges, rows a range, fetch size)."""
         from tripstar.sources.jdbc import read_jdbc_table
 
-        builders = {n: (lambda n=n: read_jdbc_table(spark, url, n, properties)) for n in STAR_TABLES}
+        builders = {n: (lambda n=n: read_jdbc_table(spark, url, n, properties, **(read or {}))) for n in STAR_TABLES}
         return cls(spark, builders, **kw)
 
     @classmethod
@@ -103,9 +94,6 @@ class Warehouse:
         t = Tables(spark, sf_dir)
         b = _TestdataBindings(t)
         builders = {n: getattr(b, n) for n in STAR_TABLES}
-        kw.setdefault("policy", shared_policy(("testdata", spark.sparkContext.applicationId,
-                                               os.path.abspath(sf_dir))))
-        kw.setdefault("bounded", BOUNDED_DIMS)
         wh = cls(spark, builders, **kw)
         wh.raw = t
         return wh
@@ -142,15 +130,16 @@ class _TestdataBindings:
             F.col("p_type").alias("model"), (F.lit(1985) + F.col("p_size") % 16).cast("int").alias("year"))
 
     def dim_payment_methods(self) -> DataFrame:
-        return self.t.spark.createDataFrame(
-            PAYMENT_METHODS, "payment_method_id int, method_name string")
+        # a literal table, whose size the planner knows
+        rows = ", ".join(f"({i}, '{name}')" for i, name in PAYMENT_METHODS)
+        return self.t.spark.sql(f"SELECT * FROM VALUES {rows} AS t(payment_method_id, method_name)")
 
     def dim_agents(self) -> DataFrame:
         s = self.t.supplier.filter(F.col("s_suppkey") < 9).select("s_suppkey", "s_name", "s_nationkey")
         n = self.t.nation.select("n_nationkey", "n_regionkey")
         r = self.t.region.select("r_regionkey", "r_name")
-        return (s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
-                .join(F.broadcast(r), F.col("n_regionkey") == r.r_regionkey)
+        return (s.join(n, s.s_nationkey == n.n_nationkey)
+                .join(r, F.col("n_regionkey") == r.r_regionkey)
                 .select(F.col("s_suppkey").alias("agent_id"), F.col("s_name").alias("agent_name"),
                         F.col("r_name").alias("region")))
 

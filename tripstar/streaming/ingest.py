@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tripstar.operators.ingest import split
 
@@ -30,12 +30,15 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 def run_validated_ingest(spark: SparkSession, source_dir: str, schema: StructType,
                          validate: Callable[[DataFrame], DataFrame], valid_path: str, quarantine_path: str,
                          checkpoint_path: str, source_format: str = "parquet",
-                         max_files_per_trigger: int | None = None, available_now: bool = True,
+                         max_files_per_trigger: int | None = None, max_bytes_per_trigger: int | None = None,
+                         available_now: bool = True,
                          processing_time: str = "1 minute"):
     """Start (and, with ``available_now``, finish) the validated ingest stream."""
     reader = spark.readStream.schema(schema).format(source_format)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    elif max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     stream = reader.load(source_dir)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -55,8 +58,22 @@ def run_validated_ingest(spark: SparkSession, source_dir: str, schema: StructTyp
     return query
 
 
-def read_ingested(spark: SparkSession, valid_path: str, quarantine_path: str) -> DataFrame:
-    """Valid and quarantined rows together (``reject_reason`` null for valid ones)."""
-    ok = spark.read.parquet(valid_path).withColumn("reject_reason", F.lit(None).cast("string"))
-    bad = spark.read.parquet(quarantine_path)
-    return ok.unionByName(bad)
+def read_ingested(spark: SparkSession, valid_path: str, quarantine_path: str, schema: StructType) -> DataFrame:
+    """Valid and quarantined rows together (``reject_reason`` null for valid ones).
+
+    ``schema`` is that of the validated rows (``reject_reason`` included), so a side without any row, whose folder
+    holds no file to take a schema from, reads as empty."""
+    batch = StructField("batch_id", LongType())
+    valid = StructType([f for f in schema.fields if f.name != "reject_reason"] + [batch])
+    full = StructType(list(schema.fields) + [batch])
+    ok = _read_side(spark, valid_path, valid).withColumn("reject_reason", F.lit(None).cast("string"))
+    return ok.unionByName(_read_side(spark, quarantine_path, full))
+
+
+def _read_side(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """One side's table; a side that was never written to is empty."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
