@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tripstar.functions import features as fx
 from tripstar.ml import evaluate as ev
 from tripstar.ml import linear, score, train
-from tripstar.operators import questions, views
+from tripstar.operators import questions, star, views
 from tripstar.session import scratch_path
 from tripstar.sources.warehouse import Warehouse
 
@@ -49,8 +49,9 @@ def demand_key():
 
 # ---------------------------------------------------------------- value-checked
 def ml_split(wh: Warehouse) -> DataFrame:
-    return ev.with_split(fare_rows(wh).select("ride_id"), fare_key()).withColumn(
-        "bucket", ev.hash_bucket(fare_key()))
+    """The split needs a ride's id alone: it runs over the filtered fact, without the joins of the features."""
+    rows = star.fare_rides(wh).select("ride_id")
+    return ev.with_split(rows, fare_key()).withColumn("bucket", ev.hash_bucket(fare_key()))
 
 
 def ml_scale(wh: Warehouse) -> DataFrame:

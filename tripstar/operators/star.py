@@ -102,6 +102,16 @@ def tickets_agents(wh: Warehouse) -> DataFrame:
                     "opened_at", "closed_at", "resolution_time_minutes", "agent_name", "region"))
 
 
+def fare_rides(wh: Warehouse) -> DataFrame:
+    """The fact rides that a fare model can learn from."""
+    return (wh.fact_rides
+            .filter(F.col("ride_date").isNotNull() & (F.col("fare_amount") > 0)
+                    & (F.col("distance_km") > 0) & (F.col("duration_minutes") > 0))
+            .select("ride_id", "customer_id", "driver_id", "vehicle_id", "payment_method_id",
+                    "pickup_zone_id", "dropoff_zone_id", "ride_date", "fare_amount", "distance_km",
+                    "duration_minutes"))
+
+
 def fare_training(wh: Warehouse, weather_join: str = "day", week_start: str = "sunday") -> DataFrame:
     """The fare-model training rows: rides with tenure, vehicle, zones, weather and calendar parts.
 
@@ -109,12 +119,7 @@ def fare_training(wh: Warehouse, weather_join: str = "day", week_start: str = "s
     ``"exact"`` compares the raw ride timestamp with the weather date, which
     only matches rides at midnight.
     """
-    fr = (wh.fact_rides
-          .filter(F.col("ride_date").isNotNull() & (F.col("fare_amount") > 0)
-                  & (F.col("distance_km") > 0) & (F.col("duration_minutes") > 0))
-          .select("ride_id", "customer_id", "driver_id", "vehicle_id", "payment_method_id",
-                  "pickup_zone_id", "dropoff_zone_id", "ride_date", "fare_amount", "distance_km",
-                  "duration_minutes"))
+    fr = fare_rides(wh)
     c = wh.dim("dim_customers").select(F.col("customer_id").alias("c_key"), "signup_date")
     d = wh.dim("dim_drivers").select(F.col("driver_id").alias("d_key"), "join_date")
     v = wh.dim("dim_vehicles").select(F.col("vehicle_id").alias("v_key"),
