@@ -70,10 +70,29 @@ def test_split_is_stable_and_near_80_20(spark):
 
 
 def test_line_fit_matches_closed_form(spark):
-    rows = [(float(x), 3.0 + 2.0 * x + (0.5 if x % 2 else -0.5), False, x % 5) for x in range(100)]
-    long = spark.createDataFrame(rows, "x double, y double, is_test boolean, fold int").withColumn("feature", F.lit("x"))
-    r = linear.fit_lines(long, ["feature"]).first()
-    assert r.slope == pytest.approx(2.0, abs=1e-3) and r.intercept == pytest.approx(3.0, abs=0.1)
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(1e6, 3.0, 400)
+    y = 5e8 + 2.0 * x + rng.normal(0, 0.01, 400)
+    parts = [linear.Moments(len(a), a.mean(), b.mean(), ((a - a.mean()) ** 2).sum(),
+                            ((a - a.mean()) * (b - b.mean())).sum(), ((b - b.mean()) ** 2).sum())
+             for a, b in zip(np.split(x, 8), np.split(y, 8))]
+    whole = linear._total(parts)
+    slope = np.polyfit(x - x.mean(), y - y.mean(), 1)[0]
+    assert whole.line()[1] == pytest.approx(slope, rel=1e-6)
+    assert whole.yy == pytest.approx(((y - y.mean()) ** 2).sum(), rel=1e-6)
+
+
+def test_candidates_leave_no_cache_and_multiply_no_rows(spark):
+    rows = [(i, float(i % 17), float(i % 5), 7.0, 3.0 * (i % 17) + 1e9) for i in range(900)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double, y double")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    m = {r.model: r for r in linear.candidate_metrics(df, ["a", "b", "c"], "y", F.col("k"), "t").collect()}
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    assert m["OLS:a"].test_r2 == pytest.approx(1.0) and m["OLS:a"].test_r2 <= 1.0
+    assert abs(m["OLS:c"].train_r2) < 1e-9      # a constant feature predicts the mean
+    assert linear.cv_folds(df, ["a"], "y", F.col("k"), "t").count() == 5
 
 
 def _fare_rows(spark):

@@ -108,9 +108,67 @@ def etl_dim_build(wh: Warehouse) -> DataFrame:
     return etl.build_dim_vehicles(ingest_vehicles(wh))
 
 
+def etl_dim_customers(wh: Warehouse) -> DataFrame:
+    return etl.build_dim_customers(ingest_customers(wh))
+
+
+def etl_dim_drivers(wh: Warehouse) -> DataFrame:
+    return etl.build_dim_drivers(ingest_drivers(wh))
+
+
+def _replaced(wh: Warehouse) -> dict[str, DataFrame]:
+    return {"vehicles": etl.replaced_ids(ingest_vehicles(wh), "license_plate"),
+            "customers": etl.replaced_ids(ingest_customers(wh), "email"),
+            "drivers": etl.replaced_ids(ingest_drivers(wh), "license_number")}
+
+
 def etl_fact_build(wh: Warehouse) -> DataFrame:
     centres = etl.zone_centres(wh.dim_zones)
-    return etl.build_fact_rides(etl.clean_validate_rides(landing.landing_rides(wh.raw)), centres)
+    return etl.build_fact_rides(etl.clean_validate_rides(landing.landing_rides(wh.raw)), centres, **_replaced(wh))
+
+
+def etl_fact_tickets(wh: Warehouse) -> DataFrame:
+    r = _replaced(wh)
+    return etl.build_fact_tickets(ingest_tickets(wh), r["customers"], r["drivers"])
+
+
+def etl_star(wh: Warehouse) -> Warehouse:
+    """The whole ETL: landing batches to seven dimensions and two facts, loaded and read back.
+
+    Zones are the zone model's centres; payment methods and agents are reference lists that the operational side
+    keeps (here those of the binding); weather is the daily rollup of the landed feed."""
+    frames = {
+        "fact_rides": etl_fact_build(wh), "fact_support_tickets": etl_fact_tickets(wh),
+        "dim_customers": etl_dim_customers(wh), "dim_drivers": etl_dim_drivers(wh), "dim_vehicles": etl_dim_build(wh),
+        "dim_zones": wh.dim_zones, "dim_payment_methods": wh.dim_payment_methods, "dim_agents": wh.dim_agents,
+        "dim_weather": src_weather_files(wh),
+    }
+    root = _scratch(wh, "star")
+    etl.load_star(Warehouse.from_frames(wh.spark, frames), root)
+    return Warehouse.from_parquet(wh.spark, root)
+
+
+# Key of each star table (dim_weather: its zone).
+STAR_KEYS = {"fact_rides": "ride_id", "fact_support_tickets": "ticket_id", "dim_customers": "customer_id",
+             "dim_drivers": "driver_id", "dim_vehicles": "vehicle_id", "dim_zones": "zone_id",
+             "dim_payment_methods": "payment_method_id", "dim_agents": "agent_id", "dim_weather": "zone_id"}
+
+
+def etl_warehouse(wh: Warehouse) -> DataFrame:
+    """One row a table of the loaded warehouse: rows, distinct keys and the sum of the keys."""
+    star_ = etl_star(wh)
+    parts = None
+    for name, key in STAR_KEYS.items():
+        k = F.col(key).cast("long")
+        part = star_.table(name).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(k).alias("n_keys"),
+                                     F.sum(k).alias("key_sum")).select(F.lit(name).alias("table_name"), "*")
+        parts = part if parts is None else parts.unionAll(part)
+    return parts
+
+
+def etl_fare_training(wh: Warehouse) -> DataFrame:
+    """The fare-model rows read from the ETL's own output."""
+    return star.fare_training(etl_star(wh))
 
 
 def sink_warehouse_load(wh: Warehouse) -> DataFrame:

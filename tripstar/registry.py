@@ -38,7 +38,7 @@ for _name in [
     "ingest_customers", "ingest_drivers", "ingest_vehicles", "ingest_tickets", "ingest_rides_full",
     "src_csv_rides", "ingest_rides_batch", "sink_surrogate_ids",
     "etl_clean_validate", "etl_unit_convert", "etl_zones_kmeans", "etl_zone_assign", "etl_weather_enrich",
-    "etl_resolution_time", "etl_dim_build", "etl_fact_build", "sink_warehouse_load", "src_weather_files",
+    "etl_resolution_time", "etl_dim_build", "etl_dim_customers", "etl_dim_drivers", "etl_fact_tickets", "etl_warehouse", "etl_fare_training", "etl_fact_build", "sink_warehouse_load", "src_weather_files",
     "ingest_stream_validate", "flt_required",
 ]:
     register(_name)(getattr(ld, _name))

@@ -34,7 +34,8 @@ def landing_customers(t: Tables) -> DataFrame:
         F.col("c_name").alias("last_name"),
         F.when(k % 53 == 0, F.lit(""))
         .otherwise(F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@mail.test"))).alias("email"),
-        F.when(k % 71 != 0, F.concat(F.lit("555-"), _pad(k % 10000, 4))).alias("phone"))
+        F.when(k % 71 != 0, F.concat(F.lit("555-"), _pad(k % 10000, 4))).alias("phone"),
+        F.date_add(F.lit("1994-01-01").cast("date"), (k % 365).cast("int")).alias("created_at"))
 
 
 def landing_drivers(t: Tables) -> DataFrame:
@@ -52,7 +53,9 @@ def landing_vehicles(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
     return t.part.select(
         k.alias("source_key"),
-        F.concat(F.lit("PL-"), k.cast("string")).alias("license_plate"),
+        # every 89th vehicle takes over the plate of the one before
+        F.concat(F.lit("PL-"), (k - F.when((k % 89 == 0) & (k > 0), 1).otherwise(0)).cast("string"))
+        .alias("license_plate"),
         F.col("p_brand").alias("make"), F.col("p_type").alias("model"),
         (F.lit(1985) + F.col("p_size") % 45).cast("int").alias("year"),
         cycle_of(k, COLOR_CYCLE).alias("color"),
@@ -75,7 +78,9 @@ def landing_tickets(t: Tables) -> DataFrame:
         F.when(e % 29 == 0, F.lit(" ")).otherwise(F.col("props")).alias("description"),
         F.when(e % 5 != 0, cycle_of(e, STATUS_CYCLE)).alias("status"),
         F.when(e % 7 != 0, cycle_of(e, PRIORITY_CYCLE)).alias("priority"),
-        (e % 10).alias("assigned_agent_id"))
+        (e % 10).alias("assigned_agent_id"),
+        F.col("ts").alias("created_at"),
+        F.when(e % 4 >= 2, F.timestamp_add("MINUTE", (e % 10080).cast("int"), F.col("ts"))).alias("resolved_at"))
 
 
 def landing_rides(t: Tables) -> DataFrame:
