@@ -237,8 +237,9 @@ def flt_slice(wh: Warehouse, start: str = SLICE_DEFAULT["start"], end: str = SLI
     """
     lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
     fr = wh.fact_rides
-    if "ride_day" in fr.columns:  # a loaded warehouse: the same range on the partition column prunes files
-        fr = fr.filter(F.col("ride_day").between(lo, hi))
+    if "ride_month" in fr.columns:  # a loaded warehouse: the range prunes month folders, then row groups by day
+        fr = fr.filter(F.col("ride_month").between(F.trunc(lo, "month"), F.trunc(hi, "month"))
+                       & F.col("ride_day").between(lo, hi))
     fr = fr.filter(F.to_date("ride_date").between(lo, hi) & F.col("pickup_zone_id").isin(list(zones)))
     p = wh.dim("dim_payment_methods").filter(F.col("method_name").isin(list(methods)))
     return (fr.join(p, "payment_method_id")
