@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import logging
 import math
 from concurrent.futures import ThreadPoolExecutor
 
@@ -23,6 +24,8 @@ from tripstar.ml.evaluate import (N_FOLDS, SEED, regression_metrics, select_best
                                   with_split)
 from tripstar.session import checkpoint_dir
 
+log = logging.getLogger(__name__)
+
 # The model set, in the order that breaks selection ties, and
 # the hyper-parameters of each set-up.
 MODEL_ORDER = ["LinearRegression", "Ridge", "RandomForest", "GradientBoosting", "GradientBoostingSubsampled"]
@@ -89,10 +92,14 @@ def make_pipeline(features: list[str], regressor, label: str = "label") -> Pipel
 
 
 def prepare(df: DataFrame, features: list[str], label: str, key, n_folds: int = N_FOLDS) -> DataFrame:
-    """Model rows: features as doubles (null → 0), label, hash split and fold. Persisted."""
+    """Model rows: features as doubles (null → 0), label, hash split and fold. Persisted, in at least as many
+    partitions as there are cores, since a learner passes over them hundreds of times."""
     cols = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]
     out = with_fold(with_split(df, key), key, n_folds).select(
         *cols, F.col(label).cast("double").alias("label"), "is_test", "fold")
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out = out.repartition(n, F.xxhash64(*[F.col(c) for c in features], "label"))
     return out.persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -133,20 +140,39 @@ def cross_validate(name: str, data: DataFrame, features: list[str], n_folds: int
     try:
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
             rmses = list(pool.map(one, range(n_folds)))
-    except Exception:  # the training loop records NaN for a failed CV, as before
+    except Exception as e:  # the training loop records NaN for a failed CV, and says why
+        log.warning("cross-validation of %s failed: %s", name, e)
         return math.nan, math.nan
     mean = sum(rmses) / len(rmses)
     return mean, math.sqrt(sum((x - mean) ** 2 for x in rmses) / len(rmses))
 
 
 LINEAR_MODELS = ("LinearRegression", "Ridge")
+# Rows of a fold's fit from which one tree-ensemble fit alone keeps the executors busy.
+BUSY_ROWS = 5_000_000
+
+
+def default_cv_parallelism(name: str, n_folds: int, rows: int) -> int:
+    """Folds fit concurrently, with the same results: all of them for the linear fits and for tree ensembles on few
+    rows, whose jobs are too short to fill the executors; one at a time on many rows, where a single fit does (and
+    its node statistics are sized per task by ``tree_memory_mb``)."""
+    return n_folds if name in LINEAR_MODELS or rows < BUSY_ROWS else 1
+
+
+METRICS = ("task string, model string, model_order int, train_rmse double, test_rmse double, "
+           "train_mae double, test_mae double, train_r2 double, test_r2 double, "
+           "cv_rmse_mean double, cv_rmse_std double")
 
 
-def default_cv_parallelism(name: str, n_folds: int) -> int:
-    """Folds fit concurrently: all of them for the light linear fits, one at a time for tree
-    ensembles (a single fit already fills the executors, and its node statistics are sized
-    per task by ``tree_memory_mb``)."""
-    return n_folds if name in LINEAR_MODELS else 1
+def train_model(name: str, data: DataFrame, features: list[str], task: str, cv: bool = True, n_folds: int = N_FOLDS,
+                cv_parallelism: int | None = None, **kw) -> tuple[tuple, PipelineModel]:
+    """Fit one model of the set on prepared rows: (a row of METRICS, the fitted pipeline)."""
+    model = fit_one(name, data, features, **kw)
+    m = holdout(model, data)
+    par = cv_parallelism or default_cv_parallelism(name, n_folds, data.count())
+    mean, std = cross_validate(name, data, features, n_folds, par, **kw) if cv else (math.nan, math.nan)
+    return (task, name, MODEL_ORDER.index(name), m.get("train_rmse"), m.get("test_rmse"), m.get("train_mae"),
+            m.get("test_mae"), m.get("train_r2"), m.get("test_r2"), mean, std), model
 
 
 def train_all(df: DataFrame, features: list[str], label: str, key, task: str,
@@ -166,21 +192,12 @@ def train_all(df: DataFrame, features: list[str], label: str, key, task: str,
     names = models or MODEL_ORDER
     rows, fitted = [], {}
     try:
-        for i, name in enumerate(names):
-            model = fit_one(name, data, features, **kw)
-            fitted[name] = model
-            m = holdout(model, data)
-            par = cv_parallelism or default_cv_parallelism(name, n_folds)
-            cv_mean, cv_std = (cross_validate(name, data, features, n_folds, par, **kw)
-                               if cv else (math.nan, math.nan))
-            rows.append((task, name, i, m.get("train_rmse"), m.get("test_rmse"), m.get("train_mae"),
-                         m.get("test_mae"), m.get("train_r2"), m.get("test_r2"), cv_mean, cv_std))
+        for name in names:
+            row, fitted[name] = train_model(name, data, features, task, cv, n_folds, cv_parallelism, **kw)
+            rows.append(row)
     finally:
         data.unpersist()
-    schema = ("task string, model string, model_order int, train_rmse double, test_rmse double, "
-              "train_mae double, test_mae double, train_r2 double, test_r2 double, "
-              "cv_rmse_mean double, cv_rmse_std double")
-    metrics = with_scores(spark.createDataFrame(rows, schema))
+    metrics = with_scores(spark.createDataFrame(rows, METRICS))
     best = select_best(metrics).first()["model"]
     return metrics, fitted, best
 
