@@ -68,19 +68,19 @@ def _memory_mb(value: str) -> int:
 
 
 def tree_memory_mb(spark) -> int:
-    """Per-task node-statistics budget for tree learners, 256–2048 MB.
+    """Per-task node-statistics budget for tree learners, 16–2048 MB.
 
-    A quarter of an executor's memory shared by its concurrent tasks. A larger
+    A quarter of an executor's heap shared by its concurrent tasks, so that all of them together fit. A larger
     budget lets a forest split more nodes per pass over the data (fewer passes
     for deep trees); it is an engine knob, the fitted model is the same.
     """
     sc = spark.sparkContext
     conf = sc.getConf()
     if sc.master.startswith("local"):
-        mb, cores = _memory_mb(conf.get("spark.driver.memory", "1g")), sc.defaultParallelism
+        mb, cores = spark._jvm.java.lang.Runtime.getRuntime().maxMemory() >> 20, sc.defaultParallelism
     else:
         mb, cores = _memory_mb(conf.get("spark.executor.memory", "1g")), int(conf.get("spark.executor.cores", "4"))
-    return max(256, min(2048, mb // (4 * max(1, cores))))
+    return max(16, min(2048, mb // (4 * max(1, cores))))
 
 
 def make_pipeline(features: list[str], regressor, label: str = "label") -> Pipeline:
