@@ -54,7 +54,7 @@ def test_small_dimensions_are_broadcast_and_large_ones_sort_merged(spark):
 def test_building_a_query_runs_no_job_but_schema_reading(spark):
     sc = spark.sparkContext
     # queries that write files of their own while they are built
-    landed = ("src_weather_files", "etl_clean_validate", "etl_fact_build", "etl_zone", "etl_weather_enrich")
+    landed = ("src_weather_files", "etl_")
     for name in [n for n in PLANNED if not n.startswith((*landed, "op", "pipeline"))] + ["q06_temperature_bins"]:
         sc.setJobGroup(f"build-{name}", name)
         entry.queries()[name](spark, SMOKE)
