@@ -119,3 +119,17 @@ def test_full_model_set_with_cv(spark):
     from tripstar.functions.features import FARE_FEATURES
     metrics, _, best = train.train_all(_fare_rows(spark), FARE_FEATURES, "fare_amount", F.col("ride_id"), "fare")
     assert metrics.count() == len(train.MODEL_ORDER) and best in train.MODEL_ORDER
+
+
+def test_saved_models_are_loaded_and_score_both_tasks(spark, monkeypatch):
+    from tripstar.ml import queries
+    from tripstar.sources.warehouse import Warehouse
+
+    monkeypatch.setattr(train, "MODEL_ORDER", ["LinearRegression", "Ridge"])   # the wiring, on the quick models
+    wh = Warehouse.from_testdata(spark, SMOKE)
+    scored = queries.src_models(wh)
+    assert scored.columns == ["task", "row_key", "prediction"]
+    counts = {r.task: r["count"] for r in scored.filter("prediction IS NOT NULL").groupBy("task").count().collect()}
+    assert counts == {"fare": queries.fare_rows(wh).count(), "demand": queries.demand_rows(wh).count()}
+    again = {r.task for r in queries.sink_models(wh).select("task").distinct().collect()}
+    assert again == {"fare", "demand"}

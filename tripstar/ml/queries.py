@@ -337,18 +337,3 @@ def sink_segments(wh: Warehouse) -> DataFrame:
     p = _path(wh, "customer_segments")
     ml_segment_customers(wh).write.mode("overwrite").option("header", True).csv(p)
     return wh.spark.read.option("header", True).option("inferSchema", True).csv(p)
-
-
-def src_models(wh: Warehouse) -> DataFrame:
-    """Load the saved best fare pipeline (saving one first if none exists) and list its stages."""
-    from pyspark.ml import PipelineModel
-
-    path = _path(wh, "best_fare_model")
-    try:
-        model = PipelineModel.load(path)
-    except Exception:
-        fitted, _, _ = _fit_best_linear(wh, "fare")
-        train.save_model(fitted, path)
-        model = train.load_model(path)
-    rows = [(i, type(s).__name__, s.uid) for i, s in enumerate(model.stages)]
-    return wh.spark.createDataFrame(rows, "stage int, kind string, uid string")
