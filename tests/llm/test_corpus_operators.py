@@ -120,6 +120,26 @@ def test_embeddings_recall_and_soundness(spark, monkeypatch):
     assert linked(vectors(spark, rows)) == want
 
 
+def test_embeddings_recall_in_a_label_of_one_direction(spark, monkeypatch):
+    """Isolated pairs at 0.935 among vectors at a mean cosine of 0.8: by passes alone, and by tiles."""
+    rng = np.random.default_rng(4)
+    common, n, pairs = rng.standard_normal(64), 3000, 200
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(unit(common) * 0.8 ** 0.5 + unit(rng.standard_normal((n, 64))) * 0.2 ** 0.5)
+    a = x[:pairs]
+    side = rng.standard_normal((pairs, 64))
+    side = unit(side - (side * a).sum(axis=1)[:, None] * a)
+    # the partner lies as far from the label's mean as its vector does, on average
+    b = 0.935 * a + (1 - 0.935 ** 2) ** 0.5 * side
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, b]))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for window, tile, least in ((8, 4, 0.97), (64, 1024, 1.0)):
+        monkeypatch.setattr(embeddings, "WINDOW", window)
+        monkeypatch.setattr(embeddings, "TILE", tile)
+        got = linked(frame.repartition(4))
+        assert sum(got[i][0] > 0 and got[n + i][1] == got[i][1] for i in range(pairs)) >= least * pairs
+
+
 def test_embeddings_awkward_rows(spark):
     a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
     rows = [(1, a, 1), (2, a, 1), (3, [2.0, 0.0, -0.0], 1), (4, a, 2), (5, a, None), (6, None, 1), (7, [0.0] * 3, 1),
