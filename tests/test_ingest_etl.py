@@ -120,6 +120,18 @@ def test_identical_copies_and_null_keys(spark):
     assert counts == {(7, None): 1, (7, "duplicate"): 499, (None, "missing_key"): 300}
 
 
+def test_copies_of_a_hot_ride_are_written_out_by_many_tasks(spark):
+    """65,001 copies are seven blocks: no task writes out all of them, and exactly one copy is kept."""
+    raw = spark.createDataFrame([_raw_ride(7)], RAW).crossJoin(spark.range(65_001).select()).unionByName(
+        spark.createDataFrame([_raw_ride(8), _raw_ride(8)], RAW))
+    out = etl.clean_validate_rides(raw).groupBy("source_key", "reject_reason", F.spark_partition_id().alias("task")).count().collect()
+    counts = {}
+    for r in out:
+        counts[r.source_key, r.reject_reason] = counts.get((r.source_key, r.reject_reason), 0) + r["count"]
+    assert counts == {(7, None): 1, (7, "duplicate"): 65_000, (8, None): 1, (8, "duplicate"): 1}
+    assert max(r["count"] for r in out) < 65_000
+
+
 def test_dedupe_of_an_empty_batch(spark):
     assert etl.clean_validate_rides(spark.createDataFrame([], RAW)).count() == 0
 
