@@ -237,6 +237,14 @@ def test_field_learns_its_table_and_decodes_like_exhaustive_search():
         at += n
 
 
+def test_field_finds_ibans_with_a_group_of_capitals():
+    numbers = ["GB29 NWBK 6016 1331 9268 19", "GB33 BUKB 2020 1555 5555 55", "NL91 ABNA 0417 1643 00",
+               "IE29 AIBK 9311 5212 3456 78", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    texts = [f"pay to {n} by Friday" for n in numbers] + [f"IBAN {n}." for n in numbers]
+    found = pii.decoded_spans(pii.train(), texts)
+    assert [[(pii.KINDS[k], t[a:b]) for k, a, b in f] for t, f in zip(texts, found)] == [[("iban", n)] for n in numbers * 2]
+
+
 def test_field_on_unseen_sentences():
     cases = {"call (555) 222-3344 today": ["local_phone"], "SSN 111-22-3333.": ["national_id"],
              "IBAN DE12 5001 0517 0648 4898 90 now": ["iban"], "it was 2020 and 555 people": [],

@@ -6,9 +6,10 @@ national id numbers and IBANs. It is trained on the small labelled table below (
 forward-backward in numpy, a few seconds on the driver); its weights are a small fixed table and travel in a
 broadcast. Workers decode by Viterbi in numpy, many segments at a time.
 
-The tag lattice is restricted: a word without a digit can only be tagged O, in training and decoding alike. The chain
-is therefore known to pass through O at every such word, and the best path splits exactly into the best paths of the
-runs of words with digits; no text is cut at an arbitrary place.
+The tag lattice is restricted, in training and decoding alike: other tags than O are only possible in runs of words
+with digits and of groups of one to four capitals (the bank code of an IBAN printed in fours), at least one word of a
+run having a digit. The chain is therefore known to pass through O at every other word, and the best path splits
+exactly into the best paths of these runs; no text is cut at an arbitrary place.
 
 Pattern spans always stay. A decoded span is added where it overlaps no pattern span and holds a plausible number of
 digits. All scans are linear in the length of a text.
@@ -65,6 +66,7 @@ account {iban|DE44500105175407324931} Berlin
 konto {iban|AT611904300234573201}
 transfer to {iban|ES91 2100 0418 4502 0005 1332} today
 IBAN {iban|NL91ABNA0417164300} thanks
+remit to {iban|MT67 VALL 2201 3QRS T123 UVWX YZ45 67A} by noon
 in 1984 the price was 25 dollars
 the year 2021 saw 3 of 12 items
 version 3.12.1 was released on 2023-10-02
@@ -174,8 +176,8 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
 # ---- the conditional random field --------------------------------------------------------------------------------
 
 TAGS = ("O", *(f"{p}-{k}" for k in CRF_KINDS for p in "BI"))
-#: Words with a digit; possessive, and anchored at the beginning of a word: linear.
-_WORD = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*+")
+#: Words with a digit, or of one to four capitals; possessive, and anchored at the beginning of a word: linear.
+_WORD = re.compile(r"(?<!\S)(?:[^\s0-9]*+[0-9]\S*+|[A-Z]{1,4}+[.,;:!?\"']*+(?!\S))")
 _SHAPES = str.maketrans({**{c: "d" for c in "0123456789"}, **{c: "x" for c in "abcdefghijklmnopqrstuvwxyz"},
                          **{c: "X" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}})
 _EDGE = ".,;:!?\"'"
@@ -206,14 +208,15 @@ def features(word: str, before: str, after: str) -> list[str]:
 
 
 def segments(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of neighbouring words with digits: the stretches where tags other than O are possible."""
+    """Runs of neighbouring words with digits and groups of capitals, with one digit at least: the stretches where
+    tags other than O are possible."""
     out: list[list[tuple[int, int]]] = []
     for m in _WORD.finditer(text):
         if out and not text[out[-1][-1][1]:m.start()].strip():
             out[-1].append(m.span())
         else:
             out.append([m.span()])
-    return out
+    return [seg for seg in out if _DIGIT.search(text, seg[0][0], seg[-1][1])]
 
 
 def _labelled_segments() -> list[tuple[list[list[str]], list[int]]]:
