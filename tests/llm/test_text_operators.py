@@ -95,6 +95,21 @@ def test_substrings_repeated_ids_nulls_and_empty(spark):
     assert substring.remove_repeats(brute.frame(spark, [])).count() == 0
 
 
+def test_substrings_rows_of_one_id_with_other_texts(spark):
+    # two texts without an id, or of one id, begin with the same 25 words; nothing else repeats
+    def removed(i):
+        rows = [(i, brute.passage("q", 25) + " " + brute.passage("x", 30)), (i, brute.passage("q", 25) + " " + brute.passage("y", 40)),
+                (i, brute.passage("z", 60))]
+        out = substring.remove_repeats(brute.frame(spark, rows).repartition(3)).collect()
+        return sorted((r.n_words, r.n_removed) for r in out), sorted(r.kept for r in out)
+
+    for i in (None, 7):
+        counts, kept = removed(i)
+        assert counts in ([(55, 0), (60, 0), (65, 25)], [(55, 25), (60, 0), (65, 0)])
+        assert brute.passage("z", 60) in kept
+        assert sorted(len(t.split()) for t in kept) == sorted(n - gone for n, gone in counts)
+
+
 def test_sketch_never_underestimates():
     import numpy as np
 

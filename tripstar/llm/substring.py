@@ -16,8 +16,10 @@ Marks are then gathered per document and the kept words written. The sketch over
 lost; what it lets through for nothing is dropped by the exact grouping. Its size follows the input up to
 :data:`MAX_BITS` (64 MB a row): beyond that it passes on more windows, with the same results.
 
-Null text: no words. Null doc_id: before all others. Rows that repeat a doc_id count as one document: the same
-start in both is not earlier, and marks hold for both. Texts of under 20 words keep everything.
+A document is a doc_id with a text, known by the id and hashes of the text (128 bits of them where the id is null).
+Null text: no words. Null doc_id: before all others, by these hashes. Rows of equal id and equal text count as one
+document: the same start in both is not earlier, and marks hold for both. Rows that repeat an id with another text are
+documents of their own, in the order of the hashes. Texts of under 20 words keep everything.
 """
 
 from __future__ import annotations
@@ -250,8 +252,8 @@ def repeated(piece: Slice, sketch: list, bits: int):
 
 
 def candidates(docs: DataFrame, sketch: list[bytes], bits: int) -> DataFrame:
-    """docs(d, text) → h1, h2, d, pos, n, known: the earliest start of each candidate window in its slice
-    (known false), and runs of n starts that are later than another in the slice (known true)."""
+    """docs(named, d, t, text) → h1, h2, named, d, t, pos, n, known: the earliest start of each candidate window in
+    its slice (known false), and runs of n starts that are later than another in the slice (known true)."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +269,13 @@ def candidates(docs: DataFrame, sketch: list[bytes], bits: int) -> DataFrame:
                 h1, h2 = piece.windows(at)
                 doc = np.searchsorted(piece.ends, at, side="right")
                 pos = at - (piece.ends - piece.counts)[doc]
-                d = part.column("d").to_numpy(zero_copy_only=False)[doc]
+                keys = [part.column(c).to_numpy(zero_copy_only=False) for c in ("named", "d", "t")]
+                place, differs = np.lexsort(keys[::-1]), np.zeros(part.num_rows, dtype=np.int64)
+                for k in keys:
+                    differs[1:] |= k[place][1:] != k[place][:-1]
+                number = np.empty(part.num_rows, dtype=np.int64)      # of the row's document, in order
+                number[place] = np.cumsum(differs)
+                d = number[doc]
                 order = np.lexsort((pos, d, h2, h1))
                 h1, h2, d, pos, doc = h1[order], h2[order], d[order], pos[order], doc[order]
                 new = np.ones(len(h1), dtype=bool)
@@ -276,41 +284,45 @@ def candidates(docs: DataFrame, sketch: list[bytes], bits: int) -> DataFrame:
                 later = (d > d[head]) | (pos > pos[head])
                 # equal (d, pos): the same document twice in the slice, known once is enough
                 late = np.lexsort((pos[later], d[later]))
-                ld, lp = d[later][late], pos[later][late]
+                ld, lp, row = d[later][late], pos[later][late], doc[later][late]
                 start = np.ones(len(ld), dtype=bool)
                 start[1:] = (ld[1:] != ld[:-1]) | (lp[1:] > lp[:-1] + 1)
                 first = np.flatnonzero(start)
                 runs = (lp[np.append(first[1:], len(lp)) - 1] - lp[first] + 1) if len(first) else lp[:0]
                 k = len(first)
+                row = np.concatenate([doc[new], row[first]])
+                named, ids, t = (x[row] for x in keys)
                 with np.errstate(over="ignore"):   # marks only need to be spread evenly
-                    spread = (ld[first].view(np.uint64) * np.uint64(_M1)) ^ (lp[first].astype(np.uint64) * np.uint64(_M2))
+                    spread = (t[len(t) - k:].view(np.uint64) * np.uint64(_M1)) ^ (lp[first].astype(np.uint64) * np.uint64(_M2))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([h1[new], spread]).view(np.int64)),
                      pa.array(np.concatenate([h2[new], spread]).view(np.int64)),
-                     pa.array(np.concatenate([d[new], ld[first]])),
+                     pa.array(named), pa.array(ids), pa.array(t),
                      pa.array(np.concatenate([pos[new], lp[first]]).astype(np.int32)),
                      pa.array(np.concatenate([np.ones(int(new.sum()), np.int64), runs]).astype(np.int32)),
                      pa.array(np.concatenate([np.zeros(int(new.sum()), bool), np.ones(k, bool)]))],
-                    names=["h1", "h2", "d", "pos", "n", "known"])
+                    names=["h1", "h2", "named", "d", "t", "pos", "n", "known"])
 
-    return map_arrow(docs, run, "h1 long, h2 long, d long, pos int, n int, known boolean")
+    return map_arrow(docs, run, "h1 long, h2 long, named boolean, d long, t long, pos int, n int, known boolean")
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """docs(d, text) → d, marks array<long>: runs of n windows from word pos on that start earlier too, each as
+    """docs(named, d, t, text) → named, d, t, marks array<long>: runs of n windows from word pos on that start earlier too, each as
     pos · 2^32 + n (a quarter of the bytes that an array of structs would shuffle)."""
     bits = sketch_bits(docs)
     found = candidates(docs, merged_sketch(docs, bits), bits)
-    place = Window.partitionBy("known", "h1", "h2").orderBy("d", "pos")
+    place = Window.partitionBy("known", "h1", "h2").orderBy("named", "d", "t", "pos")
     return (found.withColumn("place", F.rank().over(place)).filter("known OR place > 1")
-            .groupBy("d").agg(F.collect_list(F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n")).alias("marks")))
+            .groupBy("named", "d", "t").agg(F.collect_set(F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n")).alias("marks")))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) → doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                        F.coalesce(F.col("doc_id").cast("long"), F.lit(-2 ** 63)).alias("d"), "text")
-    marked = keyed.join(marks(keyed.select("d", "text")), "d", "left").select("doc_id", "text", "marks")
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    keyed = docs.select(doc_id.alias("doc_id"), doc_id.isNotNull().alias("named"),
+                        F.coalesce(doc_id, F.xxhash64(text)).alias("d"), F.xxhash64(F.lit("text"), text).alias("t"), "text")
+    key = ["named", "d", "t"]
+    marked = keyed.join(marks(keyed.select(*key, "text")), key, "left").select("doc_id", "text", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
