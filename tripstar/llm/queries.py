@@ -6,7 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstar.llm import bpe, decontaminate, embeddings, lines, pii, quality, secrets, sharding, simhash, substring
+from tripstar.llm import (bpe, decontaminate, embeddings, licenses, lines, negatives, phrases, pii, quality, secrets,
+                          sharding, simhash, substring)
+
+#: Phrases a language that the collocation query reports.
+FIRST_PHRASES = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,9 +96,32 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every document."""
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    starts, base = F.col("places.start"), F.array_sort(F.array_distinct("places.label"))
+    every = F.array_sort(F.array_union("places.label", "notices.label"))
+    score = F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("notices.share"), F.lit(0.0)))
+    return out.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+                      F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+                      F.array_join(base, ",").alias("base_labels"), F.array_join(every, ",").alias("labels"),
+                      score.alias("score"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest collocations of each language."""
+    out = phrases.ranked(phrases.collocations(table(spark, sf_dir, "documents")), FIRST_PHRASES)
+    return out.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive."""
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_substring_dedup, op3_benchmark_decontamination, op4_line_dedup, op5_sharding, op6_embedding_near_dedup, op7_byte_bpe, op8_pii, op9_simhash,
-    op10_quality_classifier)}
+    op10_quality_classifier, op11_license_scans, op12_phrase_collocations, op13_hard_negatives)}
 _SPACE = r"[^\x20\x09-\x0D]+"
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -156,5 +183,6 @@ LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_i
 SQL: dict[str, str] = {
     "op1_secret_scans": secrets.oracle_sql(), "op2_substring_dedup": SUBSTRING_SQL,
     "op3_benchmark_decontamination": DECONTAMINATION_SQL, "op4_line_dedup": lines.oracle_sql(),
-    "op6_embedding_near_dedup": EMBEDDINGS_SQL,
+    "op6_embedding_near_dedup": EMBEDDINGS_SQL, "op11_license_scans": licenses.oracle_sql(),
+    "op12_phrase_collocations": phrases.oracle_sql(FIRST_PHRASES), "op13_hard_negatives": negatives.ORACLE_SQL,
 }
