@@ -35,11 +35,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripstar.llm.base import drop_written, map_arrow, texts, written
+from tripstar.session import conf_scope
 
 #: Occurrences a candidate needs; most words of a candidate; share (of 100) at which a longer candidate stands for it.
 MIN_COUNT, MAX_WORDS, ABSORB = 30, 4, 80
+#: Rows of groups in an Arrow batch.
+ROWS = 1 << 16
 #: UTF-8 bytes of text in a block; bytes a task holds in blocks that are not full yet; bytes made into words at once.
-BLOCK, PENDING, CHUNK = 8 << 20, 32 << 20, 1 << 20
+BLOCK, PENDING, CHUNK = 2 << 20, 8 << 20, 1 << 20
 
 _STOP = b"."
 # A-Z become a-z; the characters that end a piece become one of them, which then stands as a word between blanks.
@@ -83,8 +86,10 @@ class _Growing:
         stream = np.concatenate(self.parts)
         at = np.flatnonzero(stream)
         words = list(self.numbers)[1:]
+        groups = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(
+            np.bincount(stream[at] - 1, minlength=len(words)), pa.int32())], fields=list(_GROUP))
         return {"block": block, "lang": lang, "total": len(at), "step": _steps(at), "grp": stream[at] - 1,
-                "words": words, "n": np.bincount(stream[at] - 1, minlength=len(words)).astype(np.int32)}
+                "groups": groups}
 
 
 def _steps(at):
@@ -94,22 +99,30 @@ def _steps(at):
     return np.diff(at, prepend=0).astype(np.int32)
 
 
-def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in schema], schema=schema)
-
-
 _LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
+_GROUP = pa.struct([("phrase", pa.binary()), ("n", pa.int32())])
 _FIRST = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("total", pa.int64()), ("step", _INTS),
-                    ("grp", _INTS), ("words", pa.list_(pa.binary())), ("n", _INTS)])
-_KEPT = pa.schema([("block", pa.int64()), ("step", _INTS), ("grp", _INTS), ("ids", _LONGS)])
-_JOINED = pa.schema([("block", pa.int64()), ("step", _INTS), ("grp", _INTS), ("l", _LONGS), ("r", _LONGS),
-                     ("n", _INTS)])
+                    ("grp", _INTS), ("groups", pa.list_(_GROUP))])
+_RELATION = pa.schema([("block", pa.int64()), ("step", _INTS), ("grp", _INTS)])
+_KEPT = pa.schema([*_RELATION, ("ids", _LONGS)])
+_NAMES = {pa.int64(): "long", pa.string(): "string", _INTS: "array<int>", _LONGS: "array<long>",
+          pa.list_(_GROUP): "array<struct<phrase:binary,n:int>>"}
 
 
 def _ddl(schema: pa.Schema) -> str:
-    names = {pa.int64(): "long", pa.string(): "string", _INTS: "array<int>", _LONGS: "array<long>",
-             pa.list_(pa.binary()): "array<binary>"}
-    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+    return ", ".join(f"{f.name} {_NAMES[f.type]}" for f in schema)
+
+
+def _row(values: dict, schema: pa.Schema) -> pa.RecordBatch:
+    """One row: a block. Arrays become lists."""
+    def column(f):
+        v = values[f.name]
+        if not pa.types.is_list(f.type):
+            return pa.array([v], f.type)
+        v = v if isinstance(v, pa.Array) else pa.array(v, f.type.value_type)
+        return pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+
+    return pa.RecordBatch.from_arrays([column(f) for f in schema], schema=schema)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -121,7 +134,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
         open_: dict[str, _Growing] = defaultdict(_Growing)
 
         def close(lang):
-            return _batch([open_.pop(lang).row(next(numbers), lang)], _FIRST)
+            return _row(open_.pop(lang).row(next(numbers), lang), _FIRST)
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -139,25 +152,48 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text"), run, _ddl(_FIRST))
 
 
+def _adjacent(batch: pa.RecordBatch, i: int):
+    """A block's merge-join: places, own group numbers, and the distinct groups as (l, r, count)."""
+    import numpy as np
+
+    step, grp, ids = (batch.column(c)[i].values.to_numpy() for c in ("step", "grp", "ids"))
+    follows = step[1:] == 1
+    pair = grp[:-1][follows].astype(np.int64) * len(ids) + grp[1:][follows]
+    groups, own, n = np.unique(pair, return_inverse=True, return_counts=True)
+    many = max(len(ids), 1)
+    return np.cumsum(step, dtype=np.int64)[:-1][follows], own, (ids[groups // many], ids[groups % many], n)
+
+
 def merge_join(kept: DataFrame) -> DataFrame:
-    """The relation of length k → that of length k + 1, a block at a time: adjacent places of one piece, with each
-    block's distinct groups (l, r) and their counts."""
+    """The relation of length k → that of length k + 1, a block at a time: adjacent places of one piece. A group's
+    number is its rank among the block's distinct pairs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at, own, _ = _adjacent(batch, i)
+                yield _row({"block": batch.column("block")[i].as_py(), "step": _steps(at),
+                            "grp": own.astype("int32")}, _RELATION)
+
+    return map_arrow(kept, run, _ddl(_RELATION))
+
 
+def joined_groups(kept: DataFrame) -> DataFrame:
+    """The groups of :func:`merge_join`, a row a block and distinct group: block, gid, l, r, n."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
             for i in range(batch.num_rows):
-                step, grp, ids = (batch.column(c)[i].values.to_numpy() for c in ("step", "grp", "ids"))
-                follows = step[1:] == 1
-                pair = grp[:-1][follows].astype(np.int64) * len(ids) + grp[1:][follows]
-                groups, own, n = np.unique(pair, return_inverse=True, return_counts=True)
-                yield _batch([{"block": batch.column("block")[i].as_py(),
-                               "step": _steps(np.cumsum(step, dtype=np.int64)[:-1][follows]),
-                               "grp": own.astype(np.int32), "l": ids[groups // max(len(ids), 1)],
-                               "r": ids[groups % max(len(ids), 1)], "n": n.astype(np.int32)}], _JOINED)
+                left, right, n = _adjacent(batch, i)[2]
+                for k in range(0, len(n), ROWS):
+                    part = slice(k, k + ROWS)
+                    own = len(n[part])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(own, batch.column("block")[i].as_py())),
+                         pa.array(np.arange(k, k + own, dtype=np.int32)), pa.array(left[part]), pa.array(right[part]),
+                         pa.array(n[part])], names=["block", "gid", "l", "r", "n"])
 
-    return map_arrow(kept, run, _ddl(_JOINED))
+    return map_arrow(kept, run, "block long, gid int, l long, r long, n long")
 
 
 def semi_join(relation: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -176,9 +212,9 @@ def semi_join(relation: DataFrame, frequent: DataFrame) -> DataFrame:
                 number[gid] = np.arange(len(gid))
                 new = number[grp]
                 stays = new >= 0
-                yield _batch([{"block": batch.column("block")[i].as_py(),
-                               "step": _steps(np.cumsum(step, dtype=np.int64)[stays]), "grp": new[stays],
-                               "ids": ids}], _KEPT)
+                yield _row({"block": batch.column("block")[i].as_py(),
+                            "step": _steps(np.cumsum(step, dtype=np.int64)[stays]), "grp": new[stays],
+                            "ids": ids}, _KEPT)
 
     return map_arrow(both, run, _ddl(_KEPT))
 
@@ -201,27 +237,26 @@ def mined(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORD
     its last and without its first word (null for single words)."""
     now = written(occurrences(docs), "occurrences")
     totals = written(now.groupBy("lang").agg(F.sum("total").alias("n")), "words")
-    groups = now.select("block", "lang", F.posexplode(F.arrays_zip("words", "n")).alias("gid", "g")).select(
-        "block", "lang", "gid", F.col("g.words").alias("phrase"), F.col("g.n").alias("n"))
+    groups = now.select("block", "lang", F.posexplode("groups").alias("gid", "g")).select(
+        "block", "lang", "gid", "g.phrase", "g.n")
     one = F.array(F.col("n"))
     table = _numbered(_counted(groups, ["lang", "phrase"], min_count).select(
         "lang", "phrase", F.col("phrase").alias("last"), "n", one.alias("pre"), one.alias("suf"),
         F.lit(None).cast("long").alias("l"), F.lit(None).cast("long").alias("r")), "phrases1")
     tables, relation, keys = [table], now, ["lang", "phrase"]
-    for k in range(2, max_words + 1):
-        mine = groups.select("block", "gid", *keys).join(table.select("id", *keys), keys).select("block", "gid", "id")
-        kept = written(semi_join(relation, mine), f"relation{k - 1}")
-        drop_written(now)
-        now, relation, keys = kept, merge_join(kept), ["l", "r"]
-        groups = relation.select("block", F.posexplode(F.arrays_zip("l", "r", "n")).alias("gid", "g")).select(
-            "block", "gid", F.col("g.l").alias("l"), F.col("g.r").alias("r"), F.col("g.n").alias("n"))
-        left = table.select(F.col("id").alias("l"), "lang", F.col("phrase").alias("head"), "pre")
-        right = table.select(F.col("id").alias("r"), "last", "suf")
-        table = _numbered(_counted(groups, keys, min_count).join(left, "l").join(right, "r").select(
-            "lang", F.concat("head", F.lit(b" "), "last").alias("phrase"), "last", "n",
-            F.concat("pre", F.array("n")).alias("pre"), F.concat("suf", F.array("n")).alias("suf"), "l", "r"),
-            f"phrases{k}")
-        tables.append(table)
+    with conf_scope(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}):   # a row is a block
+        for k in range(2, max_words + 1):
+            mine = groups.select("block", "gid", *keys).join(table.select("id", *keys), keys)
+            kept = written(semi_join(relation, mine.select("block", "gid", "id")), f"relation{k - 1}")
+            drop_written(now)
+            now, relation, groups, keys = kept, merge_join(kept), joined_groups(kept), ["l", "r"]
+            left = table.select(F.col("id").alias("l"), "lang", F.col("phrase").alias("head"), "pre")
+            right = table.select(F.col("id").alias("r"), "last", "suf")
+            table = _numbered(_counted(groups, keys, min_count).join(left, "l").join(right, "r").select(
+                "lang", F.concat("head", F.lit(b" "), "last").alias("phrase"), "last", "n",
+                F.concat("pre", F.array("n")).alias("pre"), F.concat("suf", F.array("n")).alias("suf"), "l", "r"),
+                f"phrases{k}")
+            tables.append(table)
     drop_written(now)
     return totals, tables
 
