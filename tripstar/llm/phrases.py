@@ -16,8 +16,9 @@ Every part of a frequent phrase is frequent itself, so a candidate's cuts need n
 tables; and a candidate inside a longer one with nearly its count also lies in one that is longer by one word and
 counted at least as often, so only those neighbours are compared.
 
-All exchanges are of counted groups, never of one phrase's occurrences: a hot phrase is a row a block. Blocks are
-bounded in bytes whatever the document (a piece is never cut; one without any break is a block of its own size).
+All exchanges are of counted groups, never of one phrase's occurrences: a hot phrase is a row a block, and AQE splits
+its partition of the join. The semi-joins merge sorted rows at every size, since the frequent groups have no bound by
+which they could be broadcast. Blocks are bounded in bytes whatever the document (a piece is never cut; one without any break is a block of its own size).
 
 Null text: no words. Null language: ``und``. Texts without words, and an empty table, give no rows. Repeated rows
 count as often as they occur. Extra columns are not read.
@@ -199,7 +200,7 @@ def joined_groups(kept: DataFrame) -> DataFrame:
 def semi_join(relation: DataFrame, frequent: DataFrame) -> DataFrame:
     """The occurrences whose group is frequent. ``frequent``: (block, gid, id), a row a block and group it holds."""
     own = frequent.groupBy("block").agg(F.collect_list(F.struct("gid", "id")).alias("own"))
-    both = relation.select("block", "step", "grp").join(own, "block").select(
+    both = relation.select("block", "step", "grp").join(own.hint("merge"), "block").select(
         "block", "step", "grp", F.col("own.gid").alias("gid"), F.col("own.id").alias("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +247,7 @@ def mined(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORD
     tables, relation, keys = [table], now, ["lang", "phrase"]
     with conf_scope(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}):   # a row is a block
         for k in range(2, max_words + 1):
-            mine = groups.select("block", "gid", *keys).join(table.select("id", *keys), keys)
+            mine = groups.select("block", "gid", *keys).join(table.select("id", *keys).hint("merge"), keys)
             kept = written(semi_join(relation, mine.select("block", "gid", "id")), f"relation{k - 1}")
             drop_written(now)
             now, relation, groups, keys = kept, merge_join(kept), joined_groups(kept), ["l", "r"]
