@@ -121,7 +121,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], block: list[tuple]) -> Iterator[tu
             for r in range(0, len(at), TILE):
                 rows = at[r:r + TILE]
                 x = batch.column("x").take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
-                vectors = np.floor(256 * x.reshape(-1, size))
+                vectors = np.floor(256 * x.reshape(len(rows), size))
                 for a in range(0, len(mine), TILE_ANCHORS):
                     own = slice(a, a + TILE_ANCHORS)
                     yield mine[own], place + rows, ids[rows], null[rows], labels[rows], _scores(anchors[own], vectors)
