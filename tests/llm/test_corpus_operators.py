@@ -189,9 +189,26 @@ def test_bpe_matches_tiktoken_and_round_trips(spark, tiktoken_ids):
     assert sorted(bytes(r.decoded) for r in repeated.collect()) == [b"", b"a b", b"a b", b"a b"]
 
 
+def vocabulary():
+    ranks, pattern = bpe.default_ranks()
+    return bpe.Vocabulary(bpe.parse_ranks(ranks), pattern)
+
+
+def test_bpe_long_texts_and_many_long_words_stay_within_memory(tiktoken_ids):
+    rng = random.Random(8)
+    coder = bpe.Coder(vocabulary())
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400_000))
+    words = " ".join(letters[i:i + 240] for i in range(0, 240 * 1_500, 240))       # distinct words of 240 bytes
+    long = " ".join(rng.choice(("alpha", "beta", "gamma", "δ", "x9", "\n")) for _ in range(2_500_000))
+    ids = coder.encode([words, long, ""])
+    assert ids[0].as_py() == tiktoken_ids(words) and ids[1].as_py() == tiktoken_ids(long)
+    assert coder.decode(ids) == [words.encode(), long.encode(), b""]
+    coder.close()
+
+
 def test_bpe_full_memory_gives_the_same(tiktoken_ids, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
-    coder = bpe.Coder(bpe.parse_ranks(bpe.default_ranks()[0]), bpe.default_ranks()[1])
+    coder = bpe.Coder(vocabulary())
     for text in ("thing thong theng", "quorble snarfle thing", "quorble blick zzyx"):
         assert coder.encode([text]).to_pylist() == [tiktoken_ids(text)]
 

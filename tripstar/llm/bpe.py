@@ -6,8 +6,12 @@ the merge table, each word contracts its leftmost pair of least rank, and the re
 pair left. Decoding joins (document, position, id) rows with the vocabulary and aggregates the pieces in order.
 
 The vocabulary is read once on the driver from the path given and broadcast: a rank file is a fixed table (50,256
-entries, under 1 MB), it never grows with the data. A worker keeps the ids of words it has met (at most
-:data:`CACHE_WORDS`; beyond that the memory starts afresh, results are the same).
+entries, under 1 MB), it never grows with the data. A task keeps the ids of words it has met (at most
+:data:`CACHE_WORDS`; beyond that the memory starts afresh, results are the same), and gives back its database and
+this memory when it ends, so idle workers hold neither.
+
+Memory follows neither a text's nor a word's length: decoding goes by ranges of ids, whatever document they belong to, and
+a recursive query, which keeps every state of its words, takes words up to a sum of squared lengths.
 
 Null text: empty. Empty text: no ids. Words of over :data:`LONG_WORD` bytes (runs without any break) take the same
 contractions from a heap, because a recursion of one merge a round over a 100 KB word would copy it 100,000 times.
@@ -19,6 +23,8 @@ import base64
 import heapq
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute
@@ -27,9 +33,11 @@ from pyspark.sql import functions as F
 
 from tripstar.llm.base import map_arrow, spark_schema, text_slices
 
-#: Words remembered by a worker; bytes from which a word is contracted by a heap; bytes of text in one slice; ids
-#: decoded by one query.
-CACHE_WORDS, LONG_WORD, SLICE, DECODE_IDS = 800_000, 256, 2 << 20, 400_000
+#: Words of a very long text encoded at once.
+PART_WORDS = 200_000
+#: Words remembered by a task; bytes from which a word is contracted by a heap; bytes of text in one slice; ids
+#: decoded by one query; squared bytes of the words of one recursive query; its memory.
+CACHE_WORDS, LONG_WORD, SLICE, DECODE_IDS, SQUARES, MEMORY = 400_000, 256, 2 << 20, 400_000, 16 << 20, "160MB"
 
 CONTRACT = """
 WITH RECURSIVE state(word, toks) AS (
@@ -51,11 +59,10 @@ SELECT doc, string_agg(piece, '' ORDER BY pos) AS chars FROM tokens JOIN vocab U
 """
 
 
-class Coder:
-    """The ranks of one vocabulary and the DuckDB tables made from them."""
+class Vocabulary:
+    """Ranks, pattern and the merge table of one rank file, kept by a worker process: a fixed size."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import duckdb
         import numpy as np
         import regex
 
@@ -67,21 +74,47 @@ class Coder:
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), rank.append(r)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
-        self._table("merges", {"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()),
-                               "rank": pa.array(rank, pa.int32())})
+        self.merges = {"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()),
+                       "rank": pa.array(rank, pa.int32())}
         # A token's bytes as a string of the characters 0 to 255, which ordered aggregation can join.
-        self._table("vocab", {"id": pa.array(list(ranks.values()), pa.int32()),
-                              "piece": pa.array([t.decode("latin-1") for t in ranks], pa.string())})
+        self.pieces = {"id": pa.array(list(ranks.values()), pa.int32()),
+                       "piece": pa.array([t.decode("latin-1") for t in ranks], pa.string())}
+
+
+class Coder:
+    """A task's DuckDB tables of a vocabulary and the words it has met."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        import duckdb
+
+        self.ranks, self.pattern, self.first = vocabulary.ranks, vocabulary.pattern, vocabulary.first
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
+        self._table("merges", vocabulary.merges)
+        self._table("vocab", vocabulary.pieces)
         self.known: dict[str, bytes] = {}   # word → its ids as 32-bit integers
 
+    def close(self) -> None:
+        self.con.close()
+        self.known = {}
+
     def _table(self, name: str, columns: dict) -> None:
         self.con.register("incoming", pa.table(columns))
         self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
         self.con.unregister("incoming")
 
     def contract(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word (as 32-bit integers in bytes), by the recursive query."""
+        """The ids of each word (as 32-bit integers in bytes), by recursive queries over batches."""
+        import numpy as np
+
+        ends, out, at = np.cumsum([len(w) ** 2 for w in words]), [], 0
+        while at < len(words):
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + SQUARES, side="right")))
+            out += self._contract(words[at:stop])
+            at = stop
+        return out
+
+    def _contract(self, words: list[bytes]) -> list[bytes]:
         import numpy as np
 
         offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32)
@@ -140,32 +173,44 @@ class Coder:
             self.known.update(zip(plain, self.contract(todo)))
 
     def encode(self, texts: list[str]) -> pa.ListArray:
-        """The ids of each text."""
+        """The ids of each text. A text of more than a slice is cut into words and encoded part by part."""
         import numpy as np
 
-        cut = [self.pattern.findall(t) for t in texts]
+        long = [len(t) > SLICE for t in texts]
+        cut = [None if far else self.pattern.findall(t) for t, far in zip(texts, long)]
         words: set[str] = set()
         for c in cut:
-            words.update(c)
+            words.update(c or ())
         self.learn(words)
         known = self.known.__getitem__
-        ids = [b"".join(map(known, c)) for c in cut]
+        ids = [b"".join(map(known, c)) if c is not None else b"" for c in cut]
+        for i, far in enumerate(long):
+            if far:
+                ids[i] = b"".join(self._parts(texts[i]))
         ends = np.cumsum([0] + [len(x) // 4 for x in ids])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
+    def _parts(self, text: str) -> Iterator[bytes]:
+        matches = self.pattern.finditer(text)
+        while words := [m.group() for m in islice(matches, PART_WORDS)]:
+            self.learn(set(words))
+            yield b"".join(map(self.known.__getitem__, words))
+
     def decode(self, ids: pa.ListArray) -> list[bytes]:
         """The bytes of each list of ids (null: none)."""
         import numpy as np
 
         lengths = pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
         doc = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
-        out = [b""] * len(ids)
-        self.con.register("tokens", pa.table({"doc": doc, "pos": np.arange(len(doc), dtype=np.int32),
-                                              "id": ids.flatten().cast(pa.int32())}))
-        for d, chars in self.con.execute(DECODE).fetchall():
-            out[d] = chars.encode("latin-1")
-        self.con.unregister("tokens")
-        return out
+        flat, out = ids.flatten().cast(pa.int32()), [[] for _ in range(len(ids))]
+        for at in range(0, len(doc), DECODE_IDS):
+            own = doc[at:at + DECODE_IDS]
+            self.con.register("tokens", pa.table({"doc": own, "pos": np.arange(len(own), dtype=np.int32),
+                                                  "id": flat.slice(at, DECODE_IDS)}))
+            for d, chars in self.con.execute(DECODE).fetchall():
+                out[d].append(chars.encode("latin-1"))
+            self.con.unregister("tokens")
+        return [b"".join(x) for x in out]
 
 
 def read_ranks(path: str) -> bytes:
@@ -178,16 +223,21 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
 
-_CODERS: dict[int, Coder] = {}
+_VOCABULARIES: dict[int, Vocabulary] = {}
 
 
-def _coder(data: bytes, pattern: str) -> Coder:
-    """One Coder a worker process; the tables are made once, not once a task."""
+@contextmanager
+def _coder(data: bytes, pattern: str) -> Iterator[Coder]:
+    """A task's Coder; the vocabulary itself is read once a worker process."""
     key = hash((data, pattern))
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = Coder(parse_ranks(data), pattern)
-    return _CODERS[key]
+    if key not in _VOCABULARIES:
+        _VOCABULARIES.clear()
+        _VOCABULARIES[key] = Vocabulary(parse_ranks(data), pattern)
+    coder = Coder(_VOCABULARIES[key])
+    try:
+        yield coder
+    finally:
+        coder.close()
 
 
 def _ids(batch: pa.RecordBatch, coder: Coder) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
@@ -195,29 +245,15 @@ def _ids(batch: pa.RecordBatch, coder: Coder) -> Iterator[tuple[pa.RecordBatch,
         yield part, coder.encode([t or "" for t in part.column("_text").to_pylist()])
 
 
-def _chars(ids: pa.ListArray, coder: Coder) -> pa.Array:
-    """Decoded bytes, by queries over about DECODE_IDS ids (one document at least)."""
-    import numpy as np
-
-    ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
-    out, at = [], 0
-    while at < len(ids):
-        before = ends[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, before + DECODE_IDS, side="right")))
-        out += coder.decode(ids.slice(at, stop - at))
-        at = stop
-    return pa.array(out, pa.binary())
-
-
 def encode(docs: DataFrame, ranks: bytes, pattern: str, keep: list[str], column: str = "text") -> DataFrame:
     """The ``keep`` columns and ``ids`` array<int>: the tokens of the whole text, without special tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared.value, pattern)
-        for batch in batches:
-            for part, ids in _ids(batch, coder):
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids], names=[*keep, "ids"])
+        with _coder(shared.value, pattern) as coder:
+            for batch in batches:
+                for part, ids in _ids(batch, coder):
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids], names=[*keep, "ids"])
 
     return map_arrow(docs.select(*keep, docs[column].alias("_text")), run,
                      f"{spark_schema(docs, keep)}, ids array<int>")
@@ -229,10 +265,10 @@ def decode(tokens: DataFrame, ranks: bytes, pattern: str, keep: list[str]) -> Da
     columns = [*keep, "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared.value, pattern)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), _chars(batch.column("ids"), coder)], names=[*columns, "decoded"])
+        with _coder(shared.value, pattern) as coder:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(
+                    coder.decode(batch.column("ids")), pa.binary())], names=[*columns, "decoded"])
 
     return map_arrow(tokens.select(*columns), run, f"{spark_schema(tokens, columns)}, decoded binary")
 
@@ -242,11 +278,12 @@ def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, keep: list[str],
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared.value, pattern)
-        for batch in batches:
-            for part, ids in _ids(batch, coder):
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, _chars(ids, coder)],
-                                                 names=[*keep, "ids", "decoded"])
+        with _coder(shared.value, pattern) as coder:
+            for batch in batches:
+                for part, ids in _ids(batch, coder):
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part.column(c) for c in keep), ids, pa.array(coder.decode(ids), pa.binary())],
+                        names=[*keep, "ids", "decoded"])
 
     return map_arrow(docs.select(*keep, docs[column].alias("_text")), run,
                      f"{spark_schema(docs, keep)}, ids array<int>, decoded binary")
@@ -265,8 +302,6 @@ def round_trip(docs: DataFrame) -> DataFrame:
     return encode_decode(docs, ranks, pattern, ["doc_id"])
 
 
-
-
 def checked_tokens(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids and lossless: whether the ids decode to the very bytes of the text."""
     ranks, pattern = default_ranks()
