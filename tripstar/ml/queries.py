@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tripstar.functions import features as fx
 from tripstar.ml import evaluate as ev
-from tripstar.ml import linear, score, train
+from tripstar.ml import gram, linear, score, train
 from tripstar.operators import questions, star, views
 from tripstar.session import checkpoint_dir, scratch_path
 from tripstar.sources.warehouse import Warehouse
@@ -96,6 +96,56 @@ def ml_mape(wh: Warehouse) -> DataFrame:
     return _r(_one_feature_metrics(wh).select("is_test", "mape"), [])
 
 
+def _linear_data(wh: Warehouse, task: str):
+    """Prepared rows of a task, its features and their common scale. The rows stay persisted: unpersist them."""
+    rows, features, label, key = _task(wh, task)
+    data = train.prepare(rows, features, label, key)
+    return data, features, gram.common_scale(data, features)
+
+
+def _linear_fits(wh: Warehouse, name: str, alpha: float) -> DataFrame:
+    """Coefficients on the scaled features and the errors of both sides, from the cross products of each side."""
+    out = []
+    for task in ("fare", "demand"):
+        data, features, scale = _linear_data(wh, task)
+        try:
+            sides = [gram.cross_products(data.filter(F.col("is_test") == t), features, scale) for t in (False, True)]
+        finally:
+            data.unpersist()
+        fit = sides[0].fit(alpha)
+        errors = [float(x) for s in sides for x in (s.rmse(fit), s.r2(fit))]
+        # The label is centred on the mean of all rows.
+        out += [(task, name, f, float(c), *errors) for f, c in
+                zip(["intercept", *features], [fit.intercept + scale["label"][0], *fit.coefficients])]
+    return _r(wh.spark.createDataFrame(out, "task string, model string, feature string, coefficient double, "
+                                            "train_rmse double, train_r2 double, test_rmse double, test_r2 double"), [])
+
+
+def ml_linear_all_features(wh: Warehouse) -> DataFrame:
+    """Ordinary least squares on all features of both tasks, from merged cross products."""
+    return _linear_fits(wh, "LinearRegression", 0.0)
+
+
+def ml_ridge(wh: Warehouse) -> DataFrame:
+    """Ridge regression (alpha 1 on the scaled features) on all features of both tasks, from merged cross products."""
+    return _linear_fits(wh, "Ridge", train.RIDGE_ALPHA)
+
+
+def ml_cv_linear_models(wh: Warehouse) -> DataFrame:
+    """Five-fold errors of the two linear set-ups on all features: each fold's fit is that of the whole table's
+    cross products less the fold's own."""
+    out = []
+    for task in ("fare", "demand"):
+        data, features, scale = _linear_data(wh, task)
+        try:
+            folds = gram.by_fold(data, features, scale, ev.N_FOLDS)
+        finally:
+            data.unpersist()
+        out += [(task, name, *row) for name, alpha in (("LinearRegression", 0.0), ("Ridge", train.RIDGE_ALPHA))
+                for row in gram.cross_validation(folds, alpha)]
+    return _r(wh.spark.createDataFrame(out, "task string, model string, fold int, n long, rmse double"), [])
+
+
 def candidates(wh: Warehouse) -> DataFrame:
     fare = linear.candidate_metrics(fare_rows(wh), fx.FARE_FEATURES, "fare_amount", fare_key(), "fare")
     demand = linear.candidate_metrics(demand_rows(wh), fx.DEMAND_FEATURES, "ride_count", demand_key(), "demand")
@@ -181,10 +231,6 @@ def _metrics(wh: Warehouse, tasks: list[str], names: list[str] | None = None) ->
     return ev.with_scores(wh.spark.createDataFrame(rows, train.METRICS))
 
 
-def ml_ridge(wh: Warehouse) -> DataFrame:
-    return _metrics(wh, ["fare", "demand"], ["Ridge"])
-
-
 def ml_random_forest(wh: Warehouse) -> DataFrame:
     return _metrics(wh, ["fare", "demand"], ["RandomForest"])
 

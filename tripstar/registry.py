@@ -48,7 +48,7 @@ from tripstar.ml import queries as mlq  # noqa: E402
 for _name in [
     "ml_split", "ml_scale", "ml_linear", "ml_metrics", "ml_mape", "ml_cv", "ml_selection_score",
     "ml_score_backfill", "ml_select_best", "ml_metrics_table",
-    "ml_normal_equations", "ml_ridge", "ml_random_forest", "ml_gbt", "ml_gbt_subsampled", "ml_train_all", "ml_duration",
+    "ml_normal_equations", "ml_linear_all_features", "ml_ridge", "ml_cv_linear_models", "ml_random_forest", "ml_gbt", "ml_gbt_subsampled", "ml_train_all", "ml_duration",
     "ml_score_fare", "ml_score_demand", "ml_segment_customers",
     "sink_models", "src_models", "sink_metrics_json", "sink_metrics_csv", "sink_best_info", "sink_risk_zones", "sink_segments",
 ]:
