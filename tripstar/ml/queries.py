@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tripstar.functions import features as fx
 from tripstar.ml import evaluate as ev
-from tripstar.ml import gram, linear, score, train
+from tripstar.ml import compiled, gram, linear, score, train
 from tripstar.operators import questions, star, views
 from tripstar.session import checkpoint_dir, scratch_path
 from tripstar.sources.warehouse import Warehouse
@@ -338,6 +338,27 @@ def src_models(wh: Warehouse) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def ml_compiled_models(wh: Warehouse) -> DataFrame:
+    """Every model of the set, stored and compiled to relational scoring: per task, model and side the rows, and those on
+    which the compiled form and the learner's own prediction differ by more than rounding. None do."""
+    parts = []
+    for task in ("fare", "demand"):
+        rows, features, label, _ = _task(wh, task)
+        for name, (_, model) in fitted(wh, task).items():
+            path = _path(wh, f"{task}_{name}")
+            train.save_model(model, path)
+            own = train.load_model(path).transform(_model_rows(wh, task)).select("is_test", "prediction", *features)
+            both = compiled.score(wh.spark, path, own, features)
+            off = F.abs(F.col("compiled") - F.col("prediction")) > 1e-9 * (1 + F.abs(F.col("prediction")))
+            parts.append(both.groupBy("is_test").agg(
+                F.count("*").alias("n"), F.coalesce(F.count_if(off), F.lit(0)).alias("unequal"))
+                .select(F.lit(task).alias("task"), F.lit(name).alias("model"), "is_test", "n", "unequal"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
 _STORED = ["train_rmse", "test_rmse", "train_mae", "test_mae", "train_r2", "test_r2", "train_mape", "test_mape",
            "cv_rmse_mean", "cv_rmse_std", "r2_gap", "selection_score"]
 

@@ -50,6 +50,6 @@ for _name in [
     "ml_score_backfill", "ml_select_best", "ml_metrics_table",
     "ml_normal_equations", "ml_linear_all_features", "ml_ridge", "ml_cv_linear_models", "ml_random_forest", "ml_gbt", "ml_gbt_subsampled", "ml_train_all", "ml_duration",
     "ml_score_fare", "ml_score_demand", "ml_segment_customers",
-    "sink_models", "src_models", "sink_metrics_json", "sink_metrics_csv", "sink_best_info", "sink_risk_zones", "sink_segments",
+    "ml_compiled_models", "sink_models", "src_models", "sink_metrics_json", "sink_metrics_csv", "sink_best_info", "sink_risk_zones", "sink_segments",
 ]:
     register(_name)(getattr(mlq, _name))
