@@ -78,7 +78,7 @@ def test_compiled_ensembles_score_every_row_alike(spark, data, learner, broadcas
     np.testing.assert_allclose(both.compiled, both.prediction, rtol=1e-9)
     if broadcast:   # the export and the SQL text in another engine
         nodes = compiled.node_table(spark, path).toPandas()
-        points = own.filter("id >= 0").select("id", compiled.scaled(model, FEATURES).alias("z"), "prediction").toPandas()
+        points = own.filter("id >= 0").select("id", compiled.Stored(spark, path).scaled(FEATURES).alias("z"), "prediction").toPandas()
         con = duckdb.connect()
         con.register("nodes", nodes), con.register("points", points)
         scored = con.execute(compiled.scoring_sql(model.stages[-1].getMaxDepth())).df().merge(points, on="id")

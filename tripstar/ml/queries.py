@@ -341,22 +341,19 @@ def src_models(wh: Warehouse) -> DataFrame:
 def ml_compiled_models(wh: Warehouse) -> DataFrame:
     """Every model of the set, stored and compiled to relational scoring: per task, model and side the rows, and those on
     which the compiled form and the learner's own prediction differ by more than rounding. None do."""
-    parts = []
+    out = []
     for task in ("fare", "demand"):
-        rows, features, label, _ = _task(wh, task)
+        features = _task(wh, task)[1]
         for name, (_, model) in fitted(wh, task).items():
             path = _path(wh, f"{task}_{name}")
             train.save_model(model, path)
-            own = train.load_model(path).transform(_model_rows(wh, task)).select("is_test", "prediction", *features)
+            own = model.transform(_model_rows(wh, task)).select("is_test", "prediction", *features)
             both = compiled.score(wh.spark, path, own, features)
             off = F.abs(F.col("compiled") - F.col("prediction")) > 1e-9 * (1 + F.abs(F.col("prediction")))
-            parts.append(both.groupBy("is_test").agg(
-                F.count("*").alias("n"), F.coalesce(F.count_if(off), F.lit(0)).alias("unequal"))
-                .select(F.lit(task).alias("task"), F.lit(name).alias("model"), "is_test", "n", "unequal"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+            # One model at a time: each holds its node table in memory. Two rows come back.
+            out += [(task, name, r["is_test"], r["n"], r["unequal"]) for r in both.groupBy("is_test").agg(
+                F.count("*").alias("n"), F.count_if(off).alias("unequal")).collect()]
+    return wh.spark.createDataFrame(out, "task string, model string, is_test boolean, n long, unequal long")
 
 
 _STORED = ["train_rmse", "test_rmse", "train_mae", "test_mae", "train_r2", "test_r2", "train_mape", "test_mape",
