@@ -324,13 +324,28 @@ WEATHER_CORR_COLS = ["temperature_2m", "precipitation", "rain", "snowfall", "clo
 
 
 def q_weather_duration_corr(wh: Warehouse) -> DataFrame:
-    """Pearson correlation of trip duration with each weather variable (matched rides)."""
+    """Pearson correlation of trip duration with each weather variable (matched rides).
+
+    Weather is constant over a zone's day, so the moments of its rides' durations (count, sum, sum of squares) are all
+    that the correlation needs of them: rides are aggregated first, and only zone-days are joined to the weather."""
+    y = F.col("duration_minutes").cast("double")
+    days = (star.rides(wh).filter(F.col("duration_minutes").isNotNull())
+            .groupBy("pickup_zone_id", F.to_date("ride_date").alias("day"))
+            .agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q")))
     cols = WEATHER_CORR_COLS
     w = wh.table("dim_weather").select(F.col("zone_id").alias("w_zone"), F.col("date").alias("w_date"), *cols)
-    r = star.rides(wh).select("pickup_zone_id", "ride_date", "duration_minutes")
-    j = r.join(w, (r.pickup_zone_id == w.w_zone) & (F.to_date(r.ride_date) == w.w_date), "inner")
-    return j.agg(*[F.round(F.corr(F.col("duration_minutes").cast("double"), F.col(c)), 6).alias(f"corr_{c}")
-                   for c in cols])
+    j = days.join(w, (days.pickup_zone_id == w.w_zone) & (days.day == w.w_date), "inner")
+
+    def corr(c):
+        own = F.col(c).isNotNull()
+        total = lambda e: F.sum(F.when(own, e))
+        n, x = F.col("n"), F.col(c)
+        m, sx, sy = total(n), total(n * x), total(F.col("s"))
+        cov = m * total(F.col("s") * x) - sx * sy
+        both = (m * total(n * x * x) - sx * sx) * (m * total(F.col("q")) - sy * sy)
+        return F.round(F.try_divide(cov, F.sqrt(F.greatest(both, F.lit(0.0)))), 6).alias(f"corr_{c}")
+
+    return j.agg(*[corr(c) for c in cols])
 
 
 def q_issue_by_location(wh: Warehouse) -> DataFrame:
