@@ -3,8 +3,8 @@ boilerplate of that site and is dropped from its pages.
 
 The share is taken over the site's *distinct* pages: copies of one text are one page, so a page that was crawled
 many times doesn't turn its own lines into boilerplate. Lines are compared after trimming blanks; blank lines are
-never dropped. A line must be on :data:`MIN_PAGES` distinct pages at least, as a share of a handful of pages says
-nothing about a site.
+never dropped. The share decides at every site size; a line must only be on two distinct pages at least
+(:data:`MIN_PAGES`), as a line of one page repeats nowhere on its site.
 
 Counting moves hashes only (host, 128-bit line hash, page hash) with partial aggregation, so a line or host that
 holds a third of all rows adds one row a task to a group. A site has at most (mean lines a page) / RATIO
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tripstar.llm.base import written
 
 #: Share of a site's distinct pages above which a line is boilerplate; distinct pages it must be on at least.
-RATIO, MIN_PAGES = 0.08, 10
+RATIO, MIN_PAGES = 0.08, 2
 _HOST, _BAD, _OLD = "__site_host", "__site_lines", "__site_text"
 
 
