@@ -44,6 +44,14 @@ def secret_rows(spark, docs):
     return {r.doc_id: [(x.s, x.k, x.e) for x in r.found] for r in out.collect()}
 
 
+def test_secrets_of_a_text_of_many_matches(spark):
+    # around the block sizes of the running sums, with dropped matches between
+    texts = [(n, "".join(f"é password={'x' * (6 + i % 4)}\n" for i in range(n))) for n in (255, 256, 257, 60_000)]
+    got = secret_rows(spark, brute.frame(spark, texts))
+    for i, text in texts:
+        assert [x for x in got[i] if x[1] < 3] == brute.secrets(text), i
+
+
 def test_secrets_match_brute_force(spark):
     got = secret_rows(spark, brute.frame(spark, SECRET_TEXTS))
     for i, text in SECRET_TEXTS:
@@ -194,6 +202,18 @@ def test_lines_match_sql(spark):
     assert (100, None) in kept
 
 
+def test_lines_of_small_sites_go_by_the_same_share(spark):
+    five = brute.frame(spark, [(i, f"own {i}\nfooter" + ("\ntwice" if i < 2 else "")) for i in range(5)], source="five")
+    one = brute.frame(spark, [(10 + i, "footer\nfooter") for i in range(3)], source="one")
+    wide = brute.frame(spark, [(100 + i, f"w {i}" + ("\neight" if i < 8 else "") + ("\nnine" if i < 9 else ""))
+                               for i in range(100)], source="wide")
+    docs = five.unionByName(one).unionByName(wide)
+    out = {r.doc_id: r.text for r in lines.drop_boilerplate(docs, F.col("source")).collect()}
+    assert [out[i] for i in range(5)] == [f"own {i}" for i in range(5)]
+    assert {out[10 + i] for i in range(3)} == {"footer\nfooter"}     # one page, whatever its copies
+    assert out[100] == "w 0\neight" and out[108] == "w 8"            # 8 of 100 pages is no more than the ratio
+
+
 def test_lines_keep_columns_copies_and_empty_tables(spark):
     # forty copies of one text are one page of the site: nothing of it is boilerplate
     docs = brute.frame(spark, [(i, "alpha\nbeta") for i in range(40)] + [(50 + i, f"p{i}") for i in range(30)])

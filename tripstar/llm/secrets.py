@@ -132,17 +132,39 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
     good = (F.transform(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)), F.length)
             if rule.group else size)
     gap = F.transform(F.split(text, rule.regex, -1), F.length)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<s:bigint,k:int,e:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        span = F.struct(s.alias("s"), F.lit(number).alias("k"), (s + x["size"]).alias("e"))
-        return F.struct((s + x["size"]).alias("at"),
-                        F.when(x["good"] >= rule.least, F.concat(acc["out"], F.array(span)))
-                        .otherwise(acc["out"]).alias("out"))
-
     rows = F.arrays_zip(size.alias("size"), good.alias("good"), F.slice(gap, 1, F.greatest(F.size(match), F.lit(0))).alias("gap"))
-    return F.aggregate(rows, start, step)["out"]
+
+    def width(x: Column) -> Column:
+        return (x["gap"] + x["size"]).cast("long")
+
+    def ends(items: Column, first: Column, width) -> Column:
+        """Running sums of the items' widths, from ``first`` on."""
+        begin = F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(items, begin, lambda acc, x: F.struct(
+            (acc["at"] + width(x)).alias("at"),
+            F.concat(acc["out"], F.array(acc["at"] + width(x))).alias("out")))["out"]
+
+    def spans(rows: Column) -> Column:
+        # Blocks of the square root of n matches: a running sum copies what it has gathered at every step, so sums
+        # are gathered over a block and over the blocks' totals, never over all matches of a text.
+        step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(rows)))).cast("int")
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(rows)), step)
+        blocks = F.transform(starts, lambda i: F.slice(rows, i, step))
+        sized = F.transform(blocks, lambda b: F.struct(
+            b.alias("rows"), F.aggregate(b, F.lit(0).cast("long"), lambda n, x: n + width(x)).alias("width")))
+        return bound(sized, lambda s: F.flatten(F.transform(
+            F.arrays_zip(s["rows"].alias("rows"), s["width"].alias("width"),
+                         ends(s, F.lit(0).cast("long"), lambda x: x["width"]).alias("end")),
+            lambda b: F.filter(F.zip_with(b["rows"], ends(b["rows"], b["end"] - b["width"], width), lambda x, e: F.when(
+                x["good"] >= rule.least, F.struct((e - x["size"]).alias("s"), F.lit(number).alias("k"), e.alias("e")))),
+                lambda x: x.isNotNull()))))
+
+    return bound(rows, spans)
+
+
+def bound(value: Column, body) -> Column:
+    """body(value), the value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
