@@ -140,6 +140,21 @@ def test_embeddings_recall_in_a_label_of_one_direction(spark, monkeypatch):
         assert sum(got[i][0] > 0 and got[n + i][1] == got[i][1] for i in range(pairs)) >= least * pairs
 
 
+def test_embeddings_of_small_labels_come_from_the_passes(spark, monkeypatch):
+    """Labels from a pair to some windows, at the real parameters, rows in many partitions: all links, no tiles."""
+    rng, rows = np.random.default_rng(9), []
+    for label, n in enumerate((2, 60, 65, 66, 200, 500)):
+        x = rng.standard_normal((n, 32))
+        x[1::2] = x[0::2][:n // 2] + 0.05 * x[1::2]
+        rows += [(len(rows) + i, v.tolist(), label) for i, v in enumerate(x)]
+    seen = []
+    tiles = embeddings._tiles
+    monkeypatch.setattr(embeddings, "_tiles", lambda m: seen.append(m) or tiles(m))
+    assert linked(vectors(spark, rows).repartition(16)) == brute.near_vectors(rows)
+    # the first call is for labels whose pairs are compared whole: none of these
+    assert seen[0].count() == 0
+
+
 def test_embeddings_awkward_rows(spark):
     a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
     rows = [(1, a, 1), (2, a, 1), (3, [2.0, 0.0, -0.0], 1), (4, a, 2), (5, a, None), (6, None, 1), (7, [0.0] * 3, 1),
@@ -150,6 +165,11 @@ def test_embeddings_awkward_rows(spark):
     many = embeddings.near_duplicates(vectors(spark, [(None, a, 1), (5, b, 1), (5, b, 1), (6, b, 1)])).collect()
     assert sorted([(r.vec_id, r.n_links, r.component_id, r.kept) for r in many], key=str) == sorted(
         [(None, 0, None, False), (5, 2, 5, True), (5, 2, 5, True), (6, 2, 5, False)], key=str)
+    # vectors without an id link too: with each other (no id reached), and with the one that has an id
+    near = [1.0, 0.0, 0.01]
+    many = embeddings.near_duplicates(vectors(spark, [(None, a, 1), (None, near, 1), (None, b, 1), (9, b, 1), (7, near, 2)]))
+    assert sorted([(r.vec_id, r.n_links, r.component_id, r.kept) for r in many.collect()], key=str) == sorted(
+        [(None, 1, None, False), (None, 1, None, False), (None, 1, 9, False), (9, 1, 9, True), (7, 0, 7, True)], key=str)
 
 
 def test_embeddings_hot_vector(spark):
