@@ -400,4 +400,6 @@ def sink_risk_zones(wh: Warehouse) -> DataFrame:
 def sink_segments(wh: Warehouse) -> DataFrame:
     p = _path(wh, "customer_segments")
     ml_segment_customers(wh).write.mode("overwrite").option("header", True).csv(p)
-    return wh.spark.read.option("header", True).option("inferSchema", True).csv(p)
+    return wh.spark.read.option("header", True).schema(
+        "customer_id long, ticket_count long, avg_resolution_time double, App long, Driver long, Fare long, Other long, "
+        "Vehicle long, cluster int").csv(p)
