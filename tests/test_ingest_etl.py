@@ -3,12 +3,13 @@
 import datetime as dt
 import os
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from tripstar.operators import etl, ids, ingest
-from tripstar.sources import files
+from tripstar.sources import files, loads
 
 T0 = dt.datetime(2024, 3, 1, 9, 30)
 
@@ -228,6 +229,67 @@ def test_late_rides_join_their_day_and_reruns_replace_themselves(spark):
     assert got == [1, 2, 3]
 
 
+def _ride_load(spark, rows):
+    return spark.createDataFrame(rows, "ride_id long, ride_date timestamp_ntz")
+
+
+def test_a_rerun_with_fewer_months_leaves_none_behind(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="load-"), "fact")
+    later = T0 + dt.timedelta(days=60)
+    etl.load_partitioned(_ride_load(spark, [(1, T0), (2, later)]), path, load_id="a")
+    etl.load_partitioned(_ride_load(spark, [(3, later)]), path, load_id="b")
+    etl.load_partitioned(_ride_load(spark, [(1, T0)]), path, load_id="a")
+    assert sorted(r.ride_id for r in etl.read_partitioned(spark, path).collect()) == [1, 3]
+    etl.load_partitioned(_ride_load(spark, []), path, load_id="a")
+    etl.load_partitioned(_ride_load(spark, []), path, load_id="b")
+    empty = etl.read_partitioned(spark, path)
+    assert empty.columns == ["ride_id", "ride_date", "ride_day"] and empty.count() == 0
+
+
+def test_a_killed_load_is_invisible_and_its_files_expire(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="load-"), "fact")
+    with pytest.raises(FileNotFoundError):
+        etl.read_partitioned(spark, path)
+    etl.load_partitioned(_ride_load(spark, [(1, T0)]), path, load_id="a")
+    # a run that ends after its rows are written and before they are committed
+    day = F.to_date("ride_date")
+    rows = _ride_load(spark, [(2, T0)]).withColumns({"ride_day": day, "ride_month": F.trunc(day, "month")})
+    killed = loads.stage(rows, path, ["ride_month"])
+    assert [r.ride_id for r in etl.read_partitioned(spark, path).collect()] == [1]
+    etl.load_partitioned(_ride_load(spark, [(4, T0)]), path, load_id="a")
+    assert loads.expire(spark, path, hours=1) == []
+    gone = loads.expire(spark, path, hours=-1)
+    assert killed in gone and len(gone) == 2
+    assert [r.ride_id for r in etl.read_partitioned(spark, path).collect()] == [4]
+    assert loads.expire(spark, path, hours=-1) == []
+
+
+def test_loads_that_commit_at_the_same_time_all_count(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="load-"), "fact")
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda i: etl.load_partitioned(_ride_load(spark, [(i, T0)]), path, load_id=f"l{i}"), range(6)))
+    assert sorted(r.ride_id for r in etl.read_partitioned(spark, path).collect()) == list(range(6))
+
+
+def test_concurrent_appends_get_ids_of_their_own(spark):
+    ledger = os.path.join(tempfile.mkdtemp(prefix="ids-"), "customer_ids")
+
+    def load(i):
+        df = spark.range(0, 100 + i, numPartitions=3).select(F.col("id").alias("x"))
+        out = ids.with_surrogate_ids(df, "cid", lambda n: ids.reserve(spark, ledger, f"load{i}", n, used=500))
+        return sorted(r.cid for r in out.collect())
+
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(load, range(6)))
+    for i, g in enumerate(got):
+        assert g == list(range(g[0], g[0] + 100 + i))       # no gap inside a load
+    everything = sorted(x for g in got for x in g)
+    assert everything == list(range(501, 501 + sum(100 + i for i in range(6))))
+    assert load(2) == got[2]                                 # a load that is run again keeps its ids
+    assert ids.reserve(spark, ledger, "load2", 7) == everything[-1]
+    assert ids.reserve(spark, ledger, "empty", 0) == everything[-1] + 7
+
+
 def test_append_counts_and_reruns_are_idempotent(spark):
     base = tempfile.mkdtemp(prefix="append-")
     ok, bad = os.path.join(base, "ok"), os.path.join(base, "bad")

@@ -64,11 +64,14 @@ def ingest_rides_batch(wh: Warehouse) -> DataFrame:
 
 
 def sink_surrogate_ids(wh: Warehouse) -> DataFrame:
-    """The valid new customers with ids that continue after the largest existing one, in source order."""
+    """The valid new customers with ids that continue after the largest existing one, in source order; the range is
+    reserved for this load, so another load at the same time gets other ids."""
     ok, _ = ingest.split(ingest_customers(wh))
-    base = ids.next_base(wh.dim_customers, "customer_id")
+    used = ids.next_base(wh.dim_customers, "customer_id")
     ordered = ok.repartitionByRange("source_key").sortWithinPartitions("source_key")
-    return ids.with_surrogate_ids(ordered, "customer_id", base)
+    ledger = _scratch(wh, "customer_ids")
+    return ids.with_surrogate_ids(ordered, "customer_id",
+                                  lambda n: ids.reserve(wh.spark, ledger, "customers", n, used))
 
 
 # ---------------------------------------------------------------- ETL
@@ -206,7 +209,7 @@ def ingest_stream_validate(wh: Warehouse, bytes_per_batch: int = 64 << 30) -> Da
     Each run lands into a fresh folder with its own checkpoint, so the stream
     sees exactly the files of this run. The files are those Spark's tasks write,
     so their number follows the input; a micro-batch takes all that have landed,
-    up to ``bytes_per_batch``.
+    up to ``bytes_per_batch``. A valid ticket whose key was taken before is not taken again.
     """
     from tripstar.streaming.ingest import read_ingested, run_validated_ingest
 
@@ -215,7 +218,7 @@ def ingest_stream_validate(wh: Warehouse, bytes_per_batch: int = 64 << 30) -> Da
     rows = landing.landing_tickets(wh.raw)
     rows.write.mode("overwrite").parquet(incoming)
     run_validated_ingest(wh.spark, incoming, rows.schema, ingest.validate_tickets, valid, bad, ckpt,
-                         max_bytes_per_trigger=bytes_per_batch)
+                         max_bytes_per_trigger=bytes_per_batch, key="source_key")
     return read_ingested(wh.spark, valid, bad, ingest.validate_tickets(rows).schema).drop("batch_id")
 
 

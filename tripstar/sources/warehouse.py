@@ -6,7 +6,7 @@ DataFrames. Three back ends produce the same schema:
 * ``Warehouse.from_testdata`` binds the star schema onto the driver's TPC-H-like
   parquet tables (the bindings of ``FIXTURES.md``), all as Spark expressions;
 * ``Warehouse.from_parquet`` reads a warehouse folder written by the ETL
-  (``tripstar.operators.etl.load_warehouse``);
+  (``tripstar.operators.etl.load_star``);
 * ``Warehouse.from_jdbc`` reads the tables of a relational warehouse with
   partitioned JDBC scans (``tripstar.sources.jdbc``).
 """
@@ -19,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripstar.sources import loads
 from tripstar.sources.tables import Tables
 
 STAR_TABLES = (
@@ -74,8 +75,11 @@ class Warehouse:
     # ------------------------------------------------------------------ back ends
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str, **kw) -> "Warehouse":
-        builders = {n: (lambda n=n: spark.read.parquet(os.path.join(root, n)).drop("load_id")) for n in STAR_TABLES}
-        return cls(spark, builders, **kw)
+        def table(name: str) -> DataFrame:
+            path = os.path.join(root, name)
+            return loads.read(spark, path) if loads.is_managed(spark, path) else spark.read.parquet(path)
+
+        return cls(spark, {n: (lambda n=n: table(n)) for n in STAR_TABLES}, **kw)
 
     @classmethod
     def from_frames(cls, spark: SparkSession, frames: dict[str, DataFrame], **kw) -> "Warehouse":
