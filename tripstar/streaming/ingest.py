@@ -8,6 +8,12 @@ a micro-batch replayed after a failure replaces its own output instead of
 duplicating it (exactly-once effect with an at-least-once sink). The
 ``availableNow`` trigger drains everything landed so far and stops, which
 suits scheduled runs; a ``processingTime`` trigger keeps it running.
+
+With a ``key``, a valid row whose key was taken by an earlier row (of the same micro-batch, of one before it, or before
+a restart) is not taken again for as long as ``remember`` says. The keys are the stream's own state, kept in RocksDB in
+the checkpoint folder and dropped by a watermark over the time a row arrived, not over a time the row carries: so
+nothing is ever too late to be taken, however old the times in it. Rejected rows and rows without a key have no
+identity and are all kept.
 """
 
 from __future__ import annotations
@@ -19,6 +25,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tripstar.operators.ingest import split
+from tripstar.session import conf_scope
+
+# State beyond the executors' heap: keys lie in RocksDB files, snapshots of them in the checkpoint folder.
+STATE = {"spark.sql.streaming.stateStore.providerClass":
+         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def first_of_key(validated: DataFrame, key: str, remember: str) -> DataFrame:
+    """A validated stream without the valid rows whose ``key`` was taken within ``remember``.
+
+    A key's rows meet in two steps: first those of each input task (the second key column is its number), then the
+    one row a task that is left of them, so a key that holds a third of all rows loads no single task. A key may be
+    remembered longer than ``remember``, by as long again at most."""
+    taken = F.col("reject_reason").isNull() & F.col(key).isNotNull()
+    first = (validated.filter(taken)
+             .withColumns({"__seen": F.current_timestamp(), "__task": F.spark_partition_id()})
+             .withWatermark("__seen", remember)
+             .dropDuplicatesWithinWatermark([key, "__task"]).dropDuplicatesWithinWatermark([key])
+             .select(*validated.columns))
+    return first.unionByName(validated.filter(~taken))
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -32,17 +58,19 @@ def run_validated_ingest(spark: SparkSession, source_dir: str, schema: StructTyp
                          checkpoint_path: str, source_format: str = "parquet",
                          max_files_per_trigger: int | None = None, max_bytes_per_trigger: int | None = None,
                          available_now: bool = True,
-                         processing_time: str = "1 minute"):
-    """Start (and, with ``available_now``, finish) the validated ingest stream."""
+                         processing_time: str = "1 minute", key: str | None = None, remember: str = "7 days"):
+    """Start (and, with ``available_now``, finish) the validated ingest stream; ``key``: see the module."""
     reader = spark.readStream.schema(schema).format(source_format)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     elif max_bytes_per_trigger:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
-    stream = reader.load(source_dir)
+    stream = validate(reader.load(source_dir))
+    if key:
+        stream = first_of_key(stream, key, remember)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        validated = validate(batch).persist()
+        validated = batch.persist()
         try:
             ok, bad = split(validated)
             _write_batch(ok, valid_path, batch_id)
@@ -52,7 +80,8 @@ def run_validated_ingest(spark: SparkSession, source_dir: str, schema: StructTyp
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint_path)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
-    query = writer.start()
+    with conf_scope(spark, STATE):
+        query = writer.start()
     if available_now:
         query.awaitTermination()
     return query
