@@ -159,46 +159,51 @@ def _bin_label(lower, upper, places):
     return F.concat(F.lit("("), shown(lower), F.lit(", "), shown(upper), F.lit("]"))
 
 
+def _one(column):
+    """The column as it is, computed once: a generated row isn't merged into the expressions that use it."""
+    return F.explode(F.array(column))
+
+
+def _bin_edges(temps: DataFrame, nbins: int) -> DataFrame:
+    """One row (no row without rides): the ``edges`` of the bins and the ``places`` their labels show."""
+    wide = lambda c: F.when(c != 0, F.abs(c) * 0.001).otherwise(F.lit(0.001))
+    lo, hi, a, b = (F.col(c) for c in ("lo", "hi", "a", "b"))
+    # the sum of n keeps this aggregate's input that of the counts, so both read one exchange
+    ends = (temps.agg(F.min("temperature_2m").alias("lo"), F.max("temperature_2m").alias("hi"), F.sum("n").alias("rides"))
+            .filter("rides > 0")
+            .withColumns({"a": F.when(lo == hi, lo - wide(lo)).otherwise(lo),
+                          "b": F.when(lo == hi, hi + wide(hi)).otherwise(hi)}))
+    inner = [F.lit(float(i)) * ((b - a) / nbins) + a for i in range(1, nbins)]
+    first = F.when(lo == hi, a).otherwise(a - (hi - lo) * 0.001)
+    edges = ends.select(_one(F.array(first, *inner, b)).alias("edges"))
+
+    # the fewest places, three at least, at which all edges differ
+    def apart(p):
+        return F.size(F.array_distinct(F.transform("edges", lambda e: _rounded_edge(e, p)))) == nbins + 1
+
+    enough = F.filter(F.sequence(F.lit(3), F.lit(11)), apart)
+    return edges.select("edges", _one(F.coalesce(F.get(enough, F.lit(0)), F.lit(12))).alias("places"))
+
+
 def q06_temperature_bins(wh: Warehouse, nbins: int = 10) -> DataFrame:
     """Rides per equal-width, right-closed temperature bin (rides with a temperature only), with its label.
 
-    The least and greatest temperature are scalar subqueries over one row per distinct temperature, so no job runs
-    while the query is built and nothing is cached. The first edge lies a thousandth of the range below the least
+    The edges come from one row over the distinct temperatures, which the counts read as a scalar subquery, so no job
+    runs while the query is built and nothing is cached. The first edge lies a thousandth of the range below the least
     value; when all values are equal the range is widened by a thousandth of the value on both sides. Empty bins
     are kept by a left join from the list of bin numbers.
     """
     temps = (zone_day_with_weather(wh).filter(F.col("temperature_2m").isNotNull())
              .groupBy("temperature_2m").agg(F.sum("n").alias("n")))
-    lo, hi = temps.agg(F.min("temperature_2m")).scalar(), temps.agg(F.max("temperature_2m")).scalar()
-    wide = lambda c: F.when(c != 0, F.abs(c) * 0.001).otherwise(F.lit(0.001))
-    bins = (wh.spark.range(nbins).select((F.col("id") + 1).cast("int").alias("temp_bin"), lo.alias("lo"), hi.alias("hi"))
-            .filter("lo IS NOT NULL")
-            .withColumn("a", F.when(F.col("lo") == F.col("hi"), F.col("lo") - wide(F.col("lo"))).otherwise(F.col("lo")))
-            .withColumn("b", F.when(F.col("lo") == F.col("hi"), F.col("hi") + wide(F.col("hi"))).otherwise(F.col("hi"))))
-
-    def edge(i):
-        inner = i.cast("double") * ((F.col("b") - F.col("a")) / nbins) + F.col("a")
-        return (F.when(i == nbins, F.col("b"))
-                .when((i == 0) & (F.col("lo") != F.col("hi")), F.col("a") - (F.col("hi") - F.col("lo")) * 0.001)
-                .otherwise(inner))
-
+    edges = _bin_edges(temps, nbins)
     k = F.col("temp_bin")
-    edges = F.array(*[edge(F.lit(i)) for i in range(nbins + 1)])
-    # the fewest places, three at least, at which all edges differ
-    def apart(p: int):
-        return F.size(F.array_distinct(F.transform("edges", lambda e: _rounded_edge(e, F.lit(p))))) == nbins + 1
-
-    places = F.coalesce(*[F.when(apart(p), F.lit(p)) for p in range(3, 12)], F.lit(12))
-    bins = (bins.withColumn("edges", edges)
-            .select("temp_bin", edge(k - 1).alias("bin_lower"), edge(k).alias("bin_upper"), places.alias("places")))
+    bins = (edges.select("edges", "places", F.explode(F.sequence(F.lit(1), F.lit(nbins))).alias("temp_bin"))
+            .select("temp_bin", F.element_at("edges", k).alias("bin_lower"), F.element_at("edges", k + 1).alias("bin_upper"),
+                    "places"))
     # a temperature's bin: 1 + the inner edges strictly below it
-    same = temps.withColumn("lo", lo).withColumn("hi", hi)
-    same = same.withColumn("a", F.when(F.col("lo") == F.col("hi"), F.col("lo") - wide(F.col("lo"))).otherwise(F.col("lo")))
-    same = same.withColumn("b", F.when(F.col("lo") == F.col("hi"), F.col("hi") + wide(F.col("hi"))).otherwise(F.col("hi")))
-    number = F.lit(1)
-    for i in range(1, nbins):
-        number = number + (F.col("temperature_2m") > edge(F.lit(i))).cast("int")
-    counts = same.groupBy(number.cast("int").alias("temp_bin")).agg(F.sum("n").alias("rides"))
+    placed = temps.select("temperature_2m", "n", _one(edges.select("edges").scalar()).alias("edges"))
+    number = F.lit(1) + F.size(F.filter(F.slice("edges", 2, nbins - 1), lambda e: e < F.col("temperature_2m")))
+    counts = placed.groupBy(number.cast("int").alias("temp_bin")).agg(F.sum("n").alias("rides"))
     return (bins.join(counts, "temp_bin", "left")
             .select("temp_bin", "bin_lower", "bin_upper",
                     F.coalesce(F.col("rides"), F.lit(0).cast("long")).alias("rides"),
