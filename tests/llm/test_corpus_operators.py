@@ -1,14 +1,19 @@
 """Sharding, embeddings, BPE, SimHash, quality classifier, components, pipeline: brute force and awkward rows."""
 
 import base64
+import bisect
 import hashlib
+import itertools
 import math
 import random
+import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import brute
@@ -58,6 +63,39 @@ def test_shards_of_near_equal_bytes(spark):
     assert check_shards(shards_of(df, 8, piece_rows=20), docs, 8)
 
 
+def key_order(text, doc_id):
+    return xxhash.xxh64(text.encode(), seed=42).intdigest(), doc_id + 2 ** 63
+
+
+def test_shards_equal_brute_force(spark):
+    """Tolerance 0 leaves no choice: rows sorted by (hash, id) and cut at the key nearest to each share of the bytes."""
+    docs = {i: t or "" for i, t in brute.documents(spark, "/root/testdata/sf0.01").items()}
+    docs |= {10 ** 9 + i: "" for i in range(500)} | {-i: "the same text" for i in range(1, 300)}
+    n = 24
+    rows = sorted(docs, key=lambda i: key_order(docs[i], i))
+    ends = list(itertools.accumulate(len(docs[i].encode()) + 8 for i in rows))
+    cuts = []
+    for k in range(1, n):
+        target = ends[-1] / n * k
+        j = bisect.bisect_left(ends, target)
+        before = ends[j - 1] if j else 0
+        cuts.append(j + 1 if ends[j] - target < target - before else j)     # rows before the shard
+    starts = [0, *cuts]
+    want = {i: (bisect.bisect_right(starts, pos) - 1, pos - starts[bisect.bisect_right(starts, pos) - 1])
+            for pos, i in enumerate(rows)}
+    df = brute.frame(spark, list(docs.items())).repartition(5)
+    for piece_rows in (1_000_000, 40):
+        got = {r.doc_id: (r.shard, r.slot) for r in shards_of(df, n, tolerance=0.0, piece_rows=piece_rows)}
+        assert got == want
+    # at the query's tolerance every boundary is within it, or at the key nearest to its share
+    sizes = check_shards(shards_of(df, n), docs, n)
+    share, at = ends[-1] / n, 0
+    for k in range(n - 1):
+        at += sizes[k]
+        nearest = ends[cuts[k] - 1] if cuts[k] else 0
+        assert at == nearest or abs(at - share * (k + 1)) <= sharding.TOLERANCE * share
+
+
 def test_shards_cut_a_group_of_copies_exactly(spark):
     docs = {i: "copy" for i in range(400)} | {1000 + i: f"other {i}" for i in range(100)}
     sizes = check_shards(shards_of(brute.frame(spark, list(docs.items())).repartition(7), 10), docs, 10)
@@ -309,6 +347,38 @@ def test_quality_on_held_out_rows(spark):
     assert r.held_out == (zlib.crc32(b"7") % 5 == 0) and r.predicted == int(r.score >= 0.3)
 
 
+def text_statistics(text):
+    """The statistics of a text in plain Python, in the order that rules number them."""
+    words, lines = re.findall(r"[^ \t\n\x0b\f\r]+", text), text.split("\n")
+    n, w = max(len(text), 1), max(len(words), 1)
+    of = lambda chars: sum(c in chars for c in text)
+    return [math.log1p(len(words)), n / w, sum(unicodedata.category(c) == "Lu" for c in text) / n, of("0123456789") / n,
+            of("#$%&*|<>=@^~_+/\\{}[]") / n, of("!?") / w, of(".,;:") / w, len(set(words)) / w, n / len(lines),
+            len(set(lines)) / len(lines)]
+
+
+def test_quality_scores_equal_brute_force(spark):
+    """The compiled column against the fitted rules applied one by one to every text."""
+    sf = "/root/testdata/sf0.01"
+    model = quality.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert model.rules
+
+    def score(text):
+        x = text_statistics(text or "")
+        z = model.intercept + sum(w for rule, w in model.rules if all(lo < x[i] <= hi for i, lo, hi in rule.bounds))
+        return 1 / (1 + math.exp(-z))
+
+    docs = brute.documents(spark, sf)
+    got = {r.doc_id: r for r in queries.op10_quality_classifier(spark, sf).collect()}
+    assert set(got) == set(docs)
+    for i, text in docs.items():
+        want = score(text)
+        assert abs(got[i].score - want) < 1e-9, i
+        assert got[i].predicted == int(want >= 0.3) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+    odd = quality.with_score(brute.frame(spark, brute.AWKWARD), model).collect()
+    assert all(abs(r["__quality_score"] - score(r.text)) < 1e-9 for r in odd)
+
+
 def test_quality_never_learns_from_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
