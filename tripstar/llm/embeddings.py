@@ -63,8 +63,7 @@ def _digests(df: DataFrame) -> DataFrame:
                 x = None
                 if labels[i] is not None and v is not None and len(v) and not v.null_count:
                     x = v.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0   # -0.0 is 0.0
-                    norm = float(np.sqrt(x @ x))
-                    if not (np.isfinite(x).all() and 0 < norm < np.inf):
+                    if not (np.isfinite(x).all() and x.any()):
                         x = None
                 if x is None:
                     h1.append(None), h2.append(None)
@@ -83,6 +82,8 @@ def _unit(vectors):
     import numpy as np
 
     x = np.array(vectors, dtype=np.float64)
+    # by a power of two, which is exact: squares of very large or small components stay within the doubles
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -375,23 +376,20 @@ def _tile_counts(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"rep": pa.array(reps, pa.int64()), "links": pa.array(links, pa.int64())})
 
 
-#: Node number of a class whose vectors have no vec_id: behind all ids below 2^62, so it never names a component with one.
-_NAMELESS = "shiftrightunsigned(xxhash64(label, h1, h2), 2) | shiftleft(1L, 62)"
-
-
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vectors(vec_id, embedding, label) → vec_id, n_links, component_id, kept."""
     ship_package(vectors.sparkSession)
     rows = _digests(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"),
                                    F.col("embedding").cast("array<double>").alias("embedding")))
     rows = written(rows, "vectors")
-    # equal digests are equal vectors but for the kind of a zero, so any of them will do
+    # equal digests are equal vectors but for the kind of a zero, so any of them will do; rep numbers the classes, since
+    # a vec_id may be null or stand for several vectors
     classes = written(rows.filter("h1 IS NOT NULL").groupBy("label", "h1", "h2").agg(
-        F.coalesce(F.min("vec_id"), F.expr(_NAMELESS)).alias("rep"), F.min("vec_id").isNull().alias("nameless"),
-        F.count("*").alias("n"), F.first("embedding").alias("vec")), "classes")
-    sized = classes.select("label", F.size("vec").alias("dim"), "rep", "vec")
+        F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("embedding").alias("vec"))
+        .withColumn("rep", F.monotonically_increasing_id()), "classes")
+    sized = classes.select("label", F.size("vec").alias("dim"), "rep", "vec", "h1")
     middles = written(_middles(sized), "middles")
-    probe = F.pmod(F.xxhash64(F.lit("probe"), "rep"), F.greatest(F.lit(1), F.floor(F.col("size") / SAMPLE))) == 0
+    probe = F.pmod(F.xxhash64(F.lit("probe"), "h1"), F.greatest(F.lit(1), F.floor(F.col("size") / SAMPLE))) == 0
     placed = sized.join(middles, ["label", "dim"]).select("label", "dim", "rep", "vec", "mid", probe.alias("probe"), "size")
     comp = written(connected_components(_links(placed, middles)), "components")
 
@@ -400,14 +398,17 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     sizes = comp.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     counts = written(_tiles(member.join(sizes, "component")).groupBy("component", "i", "j").applyInArrow(_tile_counts, "rep long, links long")
                      .groupBy("rep").agg(F.sum("links").alias("links")), "counts")
-    info = written(classes.drop("vec").join(comp, classes["rep"] == comp["node"], "left").drop("node")
-                   .join(counts, "rep", "left")
+    # for components a vec_id is one node, however many vectors it stands for
+    shared = classes.groupBy("least").agg(F.min("rep").alias("b"), F.count("*").alias("m")).filter("least IS NOT NULL AND m > 1")
+    one = written(classes.join(shared, "least").select(F.col("rep").alias("a"), "b"), "same-ids")
+    if not one.isEmpty():
+        comp = written(connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(one)), "components")
+    of = classes.drop("vec").join(comp, classes["rep"] == comp["node"], "left").drop("node")
+    named = of.filter("component IS NOT NULL").groupBy(F.col("component").alias("named")).agg(F.min("least").alias("name"))
+    info = written(of.join(counts, "rep", "left").join(named, F.col("component") == F.col("named"), "left")
                    .select("label", "h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-                           F.coalesce("component", "rep").alias("component")), "classes")
-    nameless = classes.filter("nameless").select(F.col("rep").alias("none")).distinct()
-    info = (info.join(nameless, F.col("component") == F.col("none"), "left")
-            .withColumn("component", F.when(F.col("none").isNull(), F.col("component"))).drop("none")
-            .withColumn("linked", F.lit(True)))
+                           F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("name")).alias("component")),
+                   "classes").withColumn("linked", F.lit(True))
     return (rows.select("vec_id", "label", "h1", "h2").join(info, ["label", "h1", "h2"], "left")
             .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     F.when(F.col("linked"), F.col("component")).otherwise(F.col("vec_id")).alias("component_id"))
