@@ -196,3 +196,20 @@ def test_windows_open_as_keys_stream_by():
     keys = [negatives.pack(50, 0, 100, False, 1), negatives.pack(50, 0, 96, True, 2), negatives.pack(50, 0, 95, True, 3),
             negatives.pack(50, 0, 0, True, 4), negatives.pack(100, 1, 95, True, 5)]
     assert list(negatives.opened(iter(sorted(keys)))) == [(50, 1, 1, 3, 100, 95)]
+
+
+def test_collocation_groups_are_exchanged_once(spark, monkeypatch):
+    """What goes back to the blocks is read from the counted rows: no join of all groups with the frequent ones."""
+    plans, own = [], phrases.semi_join
+
+    def spy(relation, frequent):
+        plans.append(frequent._jdf.queryExecution().optimizedPlan().toString())
+        return own(relation, frequent)
+
+    monkeypatch.setattr(phrases, "semi_join", spy)
+    docs = spark.createDataFrame([("a b c d e. a b c d x", None), ("a b c d e", "en"), (None, "en")], "text string, lang string")
+    _, tables = phrases.mined(docs, 2)
+    assert len(plans) == 3 and not any("Join" in p for p in plans)
+    assert [sorted((r.lang, bytes(r.phrase).decode(), r.n) for r in t.collect()) for t in tables[2:]] == [
+        [("und", "a b c", 2), ("und", "b c d", 2)], [("und", "a b c d", 2)]]
+    assert all(t.select("id").distinct().count() == t.count() for t in tables)
