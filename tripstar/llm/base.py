@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tripstar.session import checkpoint_dir
+from tripstar.session import checkpoint_dir, ship_package
 
 #: Texts of one Arrow batch are worked through in slices of about this many bytes, so a batch of very long
 #: documents needs no more memory than one of short documents (a single longer text is a slice of its own).
@@ -68,27 +65,6 @@ def spark_schema(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema)
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers (once an application), so that tasks can import it anywhere."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.basename(root)
-    target = os.path.join(tempfile.mkdtemp(prefix=f"{name}-code-"), f"{name}.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, files in os.walk(root):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(folder, f)
-                    z.write(full, os.path.join(name, os.path.relpath(full, root)))
-    sc.addPyFile(target)
-    _SHIPPED.add(sc.applicationId)
-
-
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package at hand in the workers."""
     ship_package(df.sparkSession)
