@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +215,52 @@ def test_collocation_groups_are_exchanged_once(spark, monkeypatch):
     assert [sorted((r.lang, bytes(r.phrase).decode(), r.n) for r in t.collect()) for t in tables[2:]] == [
         [("und", "a b c", 2), ("und", "b c d", 2)], [("und", "a b c d", 2)]]
     assert all(t.select("id").distinct().count() == t.count() for t in tables)
+
+
+def test_collocation_relations_are_not_exchanged_and_no_shuffle_files_stay(spark, monkeypatch):
+    """The semi-join exchanges the frequent groups alone, and a pass's shuffle files go with it."""
+    plans, own = [], phrases.semi_join
+
+    def spy(relation, frequent):
+        out = own(relation, frequent)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+        return {b for b in blocks.split() if b.startswith("shuffle_")}
+
+    monkeypatch.setattr(phrases, "semi_join", spy)
+    docs = spark.createDataFrame([("a b c d e. a b c d x", None), ("a b c d e", "en"), (None, "en")], "text string, lang string")
+    before = shuffled()
+    phrases.mined(docs, 2)
+    assert [p.count("Exchange") for p in plans] == [1, 1, 1] and all("Bucketed: true" in p for p in plans)
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("occurrences_", "relation"))]
+
+
+def test_collocation_groups_are_a_row_a_block_and_bucket(spark):
+    """The groups of a block are dealt by bucket, and numbered in the order in which they are sent."""
+    step, grp, ids = np.ones(400, np.int32), np.arange(400, dtype=np.int32) * 7 % 31, np.arange(100, 131, dtype=np.int64)
+    at, own, (bucket, left, right, n) = phrases.merge_join(step, grp, ids, 5)
+    assert len(at) == 399 and n.sum() == 399 and (np.diff(bucket) >= 0).all() and 0 <= bucket.min() <= bucket.max() < 5
+    assert (left[own] == ids[grp[:-1]]).all() and (right[own] == ids[grp[1:]]).all()
+    kept = spark.createDataFrame([(1, step.tolist(), grp.tolist(), ids.tolist()), (2, [], [], []), (3, [1], [0], [9])],
+                                 "block long, step array<int>, grp array<int>, ids array<long>")
+    packed = phrases.joined_groups(kept, 5, "long")
+    assert packed.count() == len(set(bucket.tolist()))
+    got = sorted((r.bucket, r.gid, r.l, r.r, r.n) for r in phrases._dealt(packed, 5).collect())
+    assert got == [(*map(int, x[:1]), i, *map(int, x[1:])) for i, x in enumerate(zip(bucket, left, right, n))]
+
+
+def test_collocations_with_numbers_beyond_ints(spark, monkeypatch):
+    rows = [("en", "new york city. new york"), ("de", "new york"), ("en", "new york city a b"), (None, "a b a b")] * 3
+    want = collocations_of(rows, 3)
+    assert mined(spark, rows) == want
+    monkeypatch.setattr(phrases, "INTS", 0)
+    monkeypatch.setattr(phrases, "BLOCK", 20)
+    assert want and mined(spark, rows) == want

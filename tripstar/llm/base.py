@@ -30,9 +30,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written_buckets(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """:func:`written` as a table in buckets by ``key``: a join by it, with as many shuffle partitions as buckets,
+    doesn't exchange its rows."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._shared_path, out._shared_table = path, table
+    return out
+
+
 def drop_written(df: DataFrame) -> None:
-    """Remove a table made by :func:`written` that nothing reads any more."""
+    """Remove a table made by :func:`written` or :func:`written_buckets` that nothing reads any more."""
     path = df._shared_path
+    if hasattr(df, "_shared_table"):
+        df.sparkSession.sql(f"DROP TABLE {df._shared_table}")
     jvm = df.sparkSession._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
