@@ -37,3 +37,25 @@ def test_slice_prunes_day_partitions(spark, loaded):
     df = all_operators()["flt_slice"](loaded)
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(ride_month" in text and "GreaterThanOrEqual(ride_day" in text
+
+
+def test_a_load_leaves_none_of_its_steps_files(spark, tmp_path):
+
+    from tripstar.session import staging, written
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k int, v string")
+    kept = written(rows, "outside")
+    with staging(spark):
+        step = written(rows.groupBy("k").count(), "step")
+        folder = step.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+        assert os.path.isdir(folder) and spark.conf.get(key) == "true"
+        step.write.parquet(str(tmp_path / "loaded"))
+    assert not os.path.exists(folder) and spark.conf.get(key, None) == before      # the step's table stayed before
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "loaded")).collect()} == {(1, 2), (None, 1)}
+    assert kept.count() == 3
+    with pytest.raises(ValueError):
+        with staging(spark):
+            raise ValueError
+    assert spark.conf.get(key, None) == before
